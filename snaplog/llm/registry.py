@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, secrets, tokenfiles
 
-MODULES = (packing, mixing)
+MODULES = (secrets, packing, tokenfiles, mixing)
 
 
 def queries() -> dict:
