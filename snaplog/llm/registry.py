@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, tokenfiles
+from . import fingerprints, mixing, packing, secrets, tokenfiles, toxicity
 
-MODULES = (secrets, packing, tokenfiles, mixing)
+MODULES = (secrets, packing, tokenfiles, toxicity, fingerprints, mixing)
 
 
 def queries() -> dict:
