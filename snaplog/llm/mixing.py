@@ -28,7 +28,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: Knots (time, weight) of the schedules, taken in the same order: early, late, level.
 SCHEDULES = (((0.0, 2.0), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)))
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
