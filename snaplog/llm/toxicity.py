@@ -14,6 +14,8 @@ lower-cased text finds them. Each output symbol's weight is learned (ridge-penal
 regression towards prior weights), as is the insult lexicon: whole words and stems that mark
 labelled toxic documents. A score is the logistic function of the bias and the matched clauses' weights.
 
+A term counts as evidence only if it stands in SUPPORT different contexts, and in half as many as
+toxic documents have it (VARIED at most; a stem also in STEM_WORDS different words), so that copies of one toxic document teach nothing but that document's insults.
 Learning is bounded: at most SAMPLE labelled rows of either label, those with the smallest md5 of
 doc_id, and at most LEXICON entries. Rows whose crc32(doc_id as text) mod 5 is 0 are never learned
 from. A doc_id labelled more than once counts as toxic if one of its labels does.
@@ -27,13 +29,14 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, table, texts
 
-SAMPLE, LEXICON, SUPPORT, LIFT, STEM_WORDS = 8_000, 4_000, 6, math.log(20), 4
+SAMPLE, LEXICON, SUPPORT, LIFT, STEM_WORDS, VARIED = 8_000, 4_000, 4, math.log(20), 4, 24
 STEM_LENGTHS = (4, 5, 6, 7)
 REACH, SCOPE = 4, 3
 
@@ -152,9 +155,17 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _terms(text: str) -> set[str]:
-    found = {w for w in WORDS.findall(text.lower()) if len(w) > 2}
-    return found | {w[:n] + "*" for w in found for n in STEM_LENGTHS if len(w) >= n}
+def _terms(text: str) -> dict[str, tuple[int, int]]:
+    """Words and stems (with *) of a text, each with 64-bit sets of hashed contexts (the words around) and forms."""
+    out: dict[str, tuple[int, int]] = {}
+    found = WORDS.findall(text.lower())
+    for before, word, after in zip(["", *found], found, [*found[1:], ""]):
+        if len(word) > 2:
+            marks = 1 << (zlib.crc32(f"{before} {after}".encode()) & 63), 1 << (zlib.crc32(word.encode()) & 63)
+            for term in (word, *(word[:n] + "*" for n in STEM_LENGTHS if len(word) >= n)):
+                old = out.get(term, (0, 0))
+                out[term] = old[0] | marks[0], old[1] | marks[1]
+    return out
 
 
 def _fit(rows: list[tuple[dict, int]]) -> tuple[float, dict[str, float]]:
@@ -189,32 +200,44 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         import pyarrow as pa
 
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        documents = [0, 0]
-        schema = ["term", "clean", "toxic"]
+        def fresh():
+            return (Counter(), Counter()), {}, [0, 0]
+
+        seen, marks, documents = fresh()
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
 
         def emit():
             terms = list(seen[0].keys() | seen[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(["", *terms]), pa.array([documents[0], *(seen[0][t] for t in terms)], pa.int64()), pa.array([documents[1], *(seen[1][t] for t in terms)], pa.int64())], names=schema)
+            own = [marks.get(t, (0, 0)) for t in terms]
+            columns = [[documents[k], *(seen[k][t] for t in terms)] for k in (0, 1)] + [[0, *(signed(m[k]) for m in own)] for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(["", *terms]), *(pa.array(c, pa.int64()) for c in columns)], names=["term", "clean", "toxic", "contexts", "forms"])
 
         for batch in bounded(batches):
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 documents[toxic] += 1
-                seen[toxic].update(_terms(text))
+                found = _terms(text)
+                seen[toxic].update(found.keys())
+                if toxic:
+                    for term, (x, y) in found.items():
+                        old = marks.get(term, (0, 0))
+                        marks[term] = old[0] | x, old[1] | y
             if len(seen[0]) > 500_000:
                 yield emit()
-                seen, documents = (Counter(), Counter()), [0, 0]
+                seen, marks, documents = fresh()
         yield emit()
 
-    counts = rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    schema = "term string, clean long, toxic long, contexts long, forms long"
+    counts = rows.mapInArrow(count, schema).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("contexts")).alias("contexts"), F.bit_count(F.bit_or("forms")).alias("forms"))
+    # words of one much-copied document have its contexts only, and are not evidence
+    varied = (F.col("contexts") >= F.greatest(F.lit(SUPPORT), F.least(F.lit(VARIED), F.col("toxic") / 2))) & (~F.col("term").endswith("*") | (F.col("forms") >= STEM_WORDS))
     lift = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
     # at most LEXICON rows come to the driver, and the totals
-    best = counts.where((F.col("term") == "") | (F.col("toxic") >= SUPPORT) & (F.col("toxic") > F.col("clean"))).orderBy(F.col("term") != "", (lift * F.log1p("toxic")).desc(), "term").limit(LEXICON).collect()
+    best = counts.where((F.col("term") == "") | varied & (F.col("toxic") > F.col("clean"))).orderBy(F.col("term") != "", (lift * F.log1p("toxic")).desc(), "term").limit(LEXICON).collect()
     total = next(((r["clean"], r["toxic"]) for r in best if r["term"] == ""), (0, 0))
     base = math.log((total[1] + 0.5) / (total[0] + 0.5))
     strong = {r["term"] for r in best if r["term"] and math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) - base >= LIFT}
     words = sorted(t for t in strong if not t.endswith("*"))
-    stems = sorted(t[:-1] for t in strong if t.endswith("*") and sum(w.startswith(t[:-1]) for w in words) >= STEM_WORDS)
+    stems = sorted(t[:-1] for t in strong if t.endswith("*"))
     stems = [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
     model = Model([w for w in words if not any(w.startswith(s) for s in stems)], stems)
 
@@ -231,6 +254,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen = [({k: int(n) for k, n in (x.split("=") for x in r["counts"].split(";") if x)}, r["toxic"]) for r in kinds for _ in range(r["count"])]
     if seen:
         model.bias, model.weights = _fit(seen)
+        # the sample has its own share of toxic rows; the bias goes back to the labels' share
+        all_of = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+        odds = lambda toxic, clean: math.log((toxic + 0.5) / (clean + 0.5))
+        model.bias += odds(all_of.get(1, 0), all_of.get(0, 0)) - odds(sum(t for _, t in seen), sum(1 - t for _, t in seen))
     return model
 
 
