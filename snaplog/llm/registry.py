@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, secrets, tokenfiles, toxicity
+from . import fingerprints, mixing, packing, secrets, tokenfiles, topk, toxicity, urlfilter
 
-MODULES = (secrets, packing, tokenfiles, toxicity, fingerprints, mixing)
+MODULES = (secrets, topk, packing, tokenfiles, toxicity, fingerprints, urlfilter, mixing)
 
 
 def queries() -> dict:
