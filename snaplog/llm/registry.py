@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, ngram_join, packing, secrets, tokenfiles, topk, toxicity, urlfilter
+from . import fingerprints, mixing, ngram_join, packing, secrets, suffix_dedup, tokenfiles, topk, toxicity, urlfilter
 
-MODULES = (secrets, topk, packing, tokenfiles, toxicity, fingerprints, urlfilter, mixing, ngram_join)
+MODULES = (secrets, topk, packing, tokenfiles, toxicity, fingerprints, urlfilter, mixing, ngram_join, suffix_dedup)
 
 
 def queries() -> dict:
