@@ -74,6 +74,24 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+def with_ref(docs: DataFrame, name: str = "ref") -> DataFrame:
+    """``docs`` with a unique long column that ascends with doc_id (nulls first), then text.
+
+    It is doc_id itself where that is unique and never null. Otherwise rows are sorted, numbered and
+    written, so that numbers stay as they are when a task is run again.
+    """
+    own = F.col("doc_id").cast("long")
+    if docs.where(own.isNull()).isEmpty() and docs.groupBy(own.alias("id")).count().where(F.col("count") > 1).isEmpty():
+        return docs.withColumn(name, own)
+    ordered = docs.repartitionByRange(own, "text").sortWithinPartitions(own, "text")
+    return written(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def near(small: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``small`` to be broadcast if it has at most ``most`` rows; as it is (both sides shuffled) beyond. It must be written."""
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def words(column: str = "text"):
     """Number of words of a text column, in the JVM."""
     return F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(WORD)).cast("long")

@@ -111,7 +111,12 @@ def high_entropy(text: Column, alphabet: str, bits: float) -> Column:
 
 def scan(docs: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
     """doc_id, text, base, added: arrays of (start, rank, kind, end), sorted; rank is the kind's place in the list."""
-    rows = texts(docs)
+    return found_in(texts(docs), allowed).select("doc_id", "text", "base", "added")
+
+
+def found_in(rows: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
+    """``rows`` and the columns base and added of its column text, which has no nulls."""
+    own = rows.columns
     for name, pattern, group, least in BASE:
         rows = rows.withColumn(f"_{name}", F.filter(located(F.col("text"), pattern if name != "hex" else "[0-9a-f]{%d,}" % least, group), lambda x: F.length(x["found"]) >= least))  # noqa: B023
     for name, _, pattern, _ in CLASSES:
@@ -126,7 +131,26 @@ def scan(docs: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
         added.append(F.when(F.size(f"_{name}") > 0, F.flatten(found)).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
     rows = rows.withColumn("found", F.concat(*added))
     clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return rows.select("doc_id", "text", "base", F.array_sort(F.filter("found", clear)).alias("added"))
+    return rows.select(*own, "base", F.array_sort(F.filter("found", clear)).alias("added"))
+
+
+def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+    """``text`` with each maximal run of the (sorted) spans replaced by ``mask``."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    part = lambda low, high: F.substring(text, low + 1, high - low)
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (x["start"] > acc["at"]) | (acc["out"] == "")
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, F.concat(acc["out"], part(acc["at"], x["start"]), F.lit(mask))).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], part(acc["at"], F.length(text))))).otherwise(text)
+
+
+def redact(docs: DataFrame, allowed: tuple = ALLOWED, mask: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs``, all columns, with secrets masked in text (a null text stays null) and n_chars to match."""
+    rows = found_in(docs.withColumn("_own", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))), allowed)
+    text = F.when(F.col("_own").isNotNull(), masked(F.col("text"), F.array_sort(F.concat("base", "added"))))
+    return rows.withColumn("_text", text).select(*[F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table, written
+from .common import bounded, table, with_ref, written
 
 LENGTH, GRAM, HOT = 100, 24, 5_000
 SEGMENT = 1 << 19
@@ -138,15 +138,6 @@ def merged(starts, ends):
     return starts[np.concatenate([[0], cut])] if len(starts) else starts, reach[np.concatenate([cut, [len(reach)]]) - 1] if len(starts) else reach
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """Rows ref, doc_id, data: ref is unique and ascends in document order. False: doc_id itself is ref."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    if rows.where(F.col("doc_id").isNull()).isEmpty() and rows.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
-        return rows.select(F.col("doc_id").alias("ref"), "doc_id", "data"), False
-    ordered = rows.repartitionByRange("doc_id", "data").sortWithinPartitions("doc_id", "data")
-    return written(ordered.select(F.monotonically_increasing_id().alias("ref"), "doc_id", "data"), "dedup-numbered"), True
-
-
 def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int = TASK_ANCHORS) -> DataFrame:
     """h (gram hash), f (context hash), ref, packed: first window << 16 | place in it << 8 | windows - 1.
 
@@ -358,7 +349,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     """doc_id, n_bytes, spans (array of start and end of the maximal removed runs), kept (the remaining bytes)."""
     if not 8 <= gram <= length or length - gram > 254:
         raise ValueError("gram must be at least 8, and below length by at most 254")
-    rows, _ = numbered(docs)
+    rows = with_ref(docs.select("doc_id", "text")).select("ref", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     found = written(settle(anchor_rows(rows, length, gram), length, hot), "dedup-anchors")
     # both joins below read this one exchange
     dealt = rows.repartition("ref")

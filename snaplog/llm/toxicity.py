@@ -276,6 +276,20 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return texts(docs, *keep).mapInArrow(run, ", ".join(["doc_id long, toxicity double, clauses string", *(f"`{c}` {kinds[c]}" for c in keep)]))
 
 
+def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``least``."""
+    place = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        read = model.reader()
+        for batch in bounded(batches):
+            yield batch.filter(pa.array([model.score(read(text or "")) < least for text in batch.column(place).to_pylist()]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
