@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-ROUNDS = 100
+ROUNDS = 200
 
 
 def components(links: DataFrame) -> DataFrame:
     """vertex, label of every vertex in ``links`` (columns a, b): label is the smallest vertex reachable.
 
-    Each round takes the smallest label among neighbours and then the label's label, so paths halve;
-    groups with a hub end in a few rounds. Every round is a written table. It ends when no label changes.
+    Each round gives every vertex its smallest neighbour (or itself, if that is smaller) as parent and
+    then its parent's parent, and contracts the links to parents; what is left of a hub's links
+    after a round is nothing. Every round is a written table. When no link is left, labels are found
+    by following the rounds' parents from the last to the first.
     """
-    both = written(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    pairs = both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(pairs.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("low")).select("vertex", F.least("vertex", "low").alias("label")), "labels")
-    for _ in range(ROUNDS):
-        near = pairs.join(labels, pairs["b"] == labels["vertex"]).groupBy("a").agg(F.min("label").alias("low"))
-        lower = labels.join(near, F.col("a") == F.col("vertex")).select("vertex", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        to = labels.select(F.col("vertex").alias("label"), F.col("label").alias("next"))
-        moved = written(lower.join(to, "label", "left").select("vertex", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = moved.select("vertex", "label")
-        if moved.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = written(ends.where(F.col("a") != F.col("b")).distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not left.isEmpty() or not rounds:
+        if len(rounds) == ROUNDS:
+            raise RuntimeError("components did not settle")
+        near = left.select(F.col("b").alias("vertex"), F.col("a").alias("low")).unionByName(left.select(F.col("a").alias("vertex"), F.col("a").alias("low")))
+        first = near.groupBy("vertex").agg(F.min("low").alias("parent"))
+        above = first.where(F.col("vertex") != F.col("parent")).select(F.col("vertex").alias("parent"), F.col("parent").alias("next"))
+        parents = written(first.join(above, "parent", "left").select("vertex", F.coalesce("next", "parent").alias("parent")), "parents")
+        rounds.append(parents)
+        a, b = (parents.select(F.col("vertex").alias(x), F.col("parent").alias(f"p{x}")) for x in ("a", "b"))
+        moved = left.join(a, "a").join(b, "b").where(F.col("pa") != F.col("pb"))
+        left = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+    labels = rounds.pop().withColumnRenamed("parent", "label")
+    while rounds:
+        to = labels.select(F.col("vertex").alias("parent"), "label")
+        labels = rounds.pop().join(to, "parent", "left").select("vertex", F.coalesce("label", "parent").alias("label"))
+    return written(labels, "labels")

@@ -233,18 +233,21 @@ def allowed_overlap(maps, sizes, a, b, num: int, den: int):
     return np.minimum(x, y) * (num + den) >= num * (sizes[a] + sizes[b])
 
 
-def next_star(label):
-    """A document outside the largest class, from which to join what is alike; None if all are one class."""
+def next_star(label, names):
+    """The document of least name outside the largest class, from which to join what is alike; None if all are one class.
+
+    Trees that hold many of the same documents so choose the same star, and their links are the same.
+    """
     import numpy as np
 
     values, counts = np.unique(label, return_counts=True)
     if len(values) == 1:
         return None
     alone = np.flatnonzero(label != values[counts.argmax()]) if counts.max() > 1 else np.arange(len(label))
-    return int(alone[len(alone) // 2])
+    return int(alone[names[alone].argmin()])
 
 
-def possible_links(maps_list: list, sizes, num: int, den: int) -> list[tuple[int, int]]:
+def possible_links(maps_list: list, sizes, names, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that bitmaps and sizes leave possible."""
     import numpy as np
 
@@ -257,7 +260,7 @@ def possible_links(maps_list: list, sizes, num: int, den: int) -> list[tuple[int
             continue
         for _ in range(4):  # a few stars join what is alike; then only the rest is traversed
             label = np.array([forest.find(x) for x in run.tolist()])
-            i = next_star(label)
+            i = next_star(label, names[run])
             if i is None:
                 break
             others = np.flatnonzero(label != label[i])
@@ -324,7 +327,7 @@ class Verifier:
             return self.forest.links
         for _ in range(8):  # stars first, as in possible_links
             label = self.forest.labels()
-            i = next_star(label)
+            i = next_star(label, np.arange(self.n))
             if i is None:
                 return self.forest.links
             others = np.flatnonzero((label != label[i]) & (self.sizes * self.den >= self.sizes[i] * self.num) & (self.sizes[i] * self.den >= self.sizes * self.num))
@@ -424,7 +427,7 @@ def candidate_links(vertices: DataFrame, num: int, den: int, most: int = GROUP,
 
         def group(t):
             vertex, maps = t.column("vertex").to_numpy(), t.column("map").to_pylist()
-            for i, j in possible_links([np.frombuffer(m, dtype=np.uint64) for m in maps], t.column("n").to_numpy(), num, den):
+            for i, j in possible_links([np.frombuffer(m, dtype=np.uint64) for m in maps], t.column("n").to_numpy(), vertex, num, den):
                 pair = (int(vertex[i]), int(vertex[j]))
                 if pair not in seen:
                     seen.add(pair)
