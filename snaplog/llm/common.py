@@ -74,17 +74,22 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
-def with_ref(docs: DataFrame, name: str = "ref") -> DataFrame:
-    """``docs`` with a unique long column that ascends with doc_id (nulls first), then text.
+def as_rows(docs: DataFrame, *also: str) -> DataFrame:
+    """``row`` (all columns of ``docs`` as a struct, out of the way of other names) and the columns named."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *also)
+
+
+def with_ref(docs: DataFrame, *also: str) -> DataFrame:
+    """``as_rows`` and ref: a unique long that ascends with doc_id (nulls first), then text.
 
     It is doc_id itself where that is unique and never null. Otherwise rows are sorted, numbered and
     written, so that numbers stay as they are when a task is run again.
     """
     own = F.col("doc_id").cast("long")
     if docs.where(own.isNull()).isEmpty() and docs.groupBy(own.alias("id")).count().where(F.col("count") > 1).isEmpty():
-        return docs.withColumn(name, own)
+        return as_rows(docs.withColumn("doc_id", own), *also).withColumn("ref", F.col("row.doc_id"))
     ordered = docs.repartitionByRange(own, "text").sortWithinPartitions(own, "text")
-    return written(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return written(as_rows(ordered, *also).withColumn("ref", F.monotonically_increasing_id()), "numbered")
 
 
 def near(small: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import as_rows, table, texts
 
 #: Fixed by the contract: kind, pattern, which group must be how long.
 BASE = (
@@ -148,9 +148,13 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, allowed: tuple = ALLOWED, mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs``, all columns, with secrets masked in text (a null text stays null) and n_chars to match."""
-    rows = found_in(docs.withColumn("_own", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))), allowed)
-    text = F.when(F.col("_own").isNotNull(), masked(F.col("text"), F.array_sort(F.concat("base", "added"))))
-    return rows.withColumn("_text", text).select(*[F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    rows = found_in(as_rows(docs).withColumn("text", F.coalesce(F.col("row.text"), F.lit(""))), allowed)
+    text = F.when(F.col("row.text").isNotNull(), masked(F.col("text"), F.array_sort(F.concat("base", "added"))))
+    rows = rows.select("row", text.alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:

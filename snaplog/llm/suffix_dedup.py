@@ -349,7 +349,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     """doc_id, n_bytes, spans (array of start and end of the maximal removed runs), kept (the remaining bytes)."""
     if not 8 <= gram <= length or length - gram > 254:
         raise ValueError("gram must be at least 8, and below length by at most 254")
-    rows = with_ref(docs.select("doc_id", "text")).select("ref", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    rows = with_ref(docs.select("doc_id", "text")).select("ref", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text"), F.lit("")).cast("binary").alias("data"))
     found = written(settle(anchor_rows(rows, length, gram), length, hot), "dedup-anchors")
     # both joins below read this one exchange
     dealt = rows.repartition("ref")

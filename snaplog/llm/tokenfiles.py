@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import DEFAULT_VOCABULARY, Encoder, bounded, new_path, table, texts, vocabulary_size
 
 MAGIC, VERSION, END = b"SLTK", 1, 0
-HEAD = struct.Struct(">4sBBHIIQQIIIQ")
+HEAD = ">4sBBHIIQQIIIQ"
 BLOCK, SHARD = 4096, 2_000_000
 
 
@@ -67,7 +67,7 @@ def write_shard(doc_ids: list, arrays: list, bits: int, partition: int = 0, numb
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     body = b"".join([np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), known.tobytes(), starts.tobytes(), offsets.tobytes(), *blocks])
-    head = HEAD.pack(MAGIC, VERSION, bits, 0, partition, number, before, len(ids), len(arrays), len(blocks), block, len(body) + 4)
+    head = struct.pack(HEAD, MAGIC, VERSION, bits, 0, partition, number, before, len(ids), len(arrays), len(blocks), block, len(body) + 4)
     return head + body + struct.pack("<I", zlib.crc32(body)) + b"\n"
 
 
@@ -78,10 +78,10 @@ class Shard:
         import numpy as np
 
         view = memoryview(data)
-        magic, version, self.bits, _, self.partition, self.number, self.before, self.tokens, self.documents, blocks, self.block, size = HEAD.unpack_from(view)
+        magic, version, self.bits, _, self.partition, self.number, self.before, self.tokens, self.documents, blocks, self.block, size = struct.unpack_from(HEAD, view)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file of this version")
-        body = view[HEAD.size : HEAD.size + size]
+        body = view[struct.calcsize(HEAD) : struct.calcsize(HEAD) + size]
         if len(body) != size or check and zlib.crc32(body[:-4]) != struct.unpack("<I", body[-4:])[0]:
             raise ValueError("a token file is damaged")
         at, n = 0, self.documents

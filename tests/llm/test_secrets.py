@@ -1,0 +1,90 @@
+"""Secret scans against patterns and windows in plain Python, and against the SQL."""
+
+import hashlib
+import math
+import random
+import re
+
+import pytest
+from helpers import rows as sorted_rows
+from llm_helpers import found, frame
+
+from snaplog.llm import secrets
+
+ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    text = text or ""
+    base = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    base += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    base += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    added = []
+    for rank, (kind, _, pattern, bits) in enumerate(secrets.CLASSES, 3):
+        for m in re.finditer(pattern, text):
+            if any(re.search(a, m[0]) for a in secrets.ALLOWED):
+                continue
+            hits = []
+            for k in range(len(m[0]) - secrets.WINDOW + 1):
+                w = m[0][k : k + secrets.WINDOW]
+                entropy = -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+                if entropy >= bits - 1e-9:
+                    if hits and k <= hits[-1][1]:
+                        hits[-1][1] = k + secrets.WINDOW
+                    else:
+                        hits.append([k, k + secrets.WINDOW])
+            added += [(m.start() + a, rank, kind, m.start() + b) for a, b in hits]
+    added = [x for x in added if not any(b[0] < x[3] and x[0] < b[3] for b in base)]
+    show = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+    count = lambda kind: sum(x[2] == kind for x in base)
+    return count("assign"), count("access"), count("hex"), hashlib.sha256(show(base).encode()).hexdigest(), show(base + added)
+
+
+def digest(docs):
+    df = secrets.op1_secret_scan
+    table, secrets.table = secrets.table, lambda *_: docs
+    try:
+        return found(df(None, ""), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    finally:
+        secrets.table = table
+
+
+@pytest.fixture(scope="module")
+def hidden():
+    draw = random.Random(4)
+    pick = lambda chars, n: "".join(draw.choice(chars) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return [
+        (1, f"é {pick(b64, 60)} ü {pick(b64, 23)} {pick('0123456789ABCDEF', 40)}", "a"), (2, "keitlichenlichkeitberlichkeit and https://example.com/abcdefghij/klmnopqrst", "a"),
+        (3, "123e4567-e89b-12d3-a456-426614174000 " + "0" * 40 + " " + "ab1" * 20, "a"), (4, f"Token : {pick(b64, 40)} {pick(b64, 40)}\n{pick('0123456789abcdef', 64)}", "a"), (5, f"{'a1' * 30}{pick(b64, 40)}{'b2' * 30}{pick(b64, 30)}", "a"),
+        (6, "PASSWORD='x' passwd:=abcdefgh tOkEn==abcdefgh secret\t=abcdefgh1", "a"), (7, "AKIAAKIAAKIAAKIA12 AKIA AKIA12345678901 xAKIAABCDEFGHIJKL", "a"),
+    ]
+
+
+def test_spans(spark, odd, odd_docs, repeated, repeated_docs, hidden):
+    for rows, docs in ((odd, odd_docs), (repeated, repeated_docs), (hidden, frame(spark, hidden))):
+        assert digest(docs) == sorted(((i, *brute(t)) for i, t, _ in rows), key=repr)
+    kinds = {s.split(":")[0] for i, t, _ in hidden for s in brute(t)[-1].split(",")}
+    assert {"entropy_hex", "entropy_base64", "assign", "access", "hex"} <= kinds
+
+
+def test_empty(no_docs):
+    assert digest(no_docs) == []
+
+
+def test_sql(spark, small, sql):
+    q = secrets.op1_secret_scan(spark, small)
+    assert sorted_rows(q) == sql(secrets.ORACLES["op1_secret_scan"], q.columns)
+
+
+def test_redact(spark, odd_docs, no_docs, repeated_docs):
+    out = {r["doc_id"]: r for r in secrets.redact(odd_docs).collect()}
+    assert secrets.redact(odd_docs).columns == odd_docs.columns and len(out) == odd_docs.count()
+    assert out[17]["text"] == '[SECRET]" [SECRET] [SECRET]' and out[17]["n_chars"] == 27
+    assert out[1]["text"] is None and out[2]["text"] == "" and out[4]["text"] == "one"
+    assert secrets.redact(no_docs).count() == 0 and secrets.redact(repeated_docs).count() == 9
+
+
+def test_no_python_in_plan(spark, small):
+    plan = secrets.op1_secret_scan(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
