@@ -23,10 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents joined by similarity, the one of smallest doc_id stays. Texts without words are in no group."""
-    rows = with_ref(docs, "_ref")
-    found = ngram_join.join_documents(rows.select(F.col("_ref").alias("doc_id"), "text"), words=5, num=80, den=100)
-    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_ref")), "copies")
-    return rows.join(near(gone), "_ref", "left_anti").select(*docs.columns)
+    rows = with_ref(docs)
+    found = ngram_join.join_documents(rows.select(F.col("ref").alias("doc_id"), "row.text"), words=5, num=80, den=100)
+    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("ref")), "copies")
+    return rows.join(near(gone), "ref", "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The document in which a source's share ends is taken if more than half of it fits.
     """
-    rows = with_ref(docs, "_ref")
-    mixed = mixing.mix(rows.select(F.col("_ref").alias("doc_id"), "source", "text"), whole=True)
-    placed = written(mixed.where(F.col("copies") > 0).select(F.col("doc_id").alias("_ref"), F.explode("positions").alias("_position")), "positions")
-    each = rows.join(near(placed), "_ref")
-    return each.repartitionByRange("_position", "_ref").sortWithinPartitions("_position", "_ref").select(*docs.columns)
+    rows = with_ref(docs)
+    mixed = mixing.mix(rows.select(F.col("ref").alias("doc_id"), "row.source", "row.text"), whole=True)
+    placed = written(mixed.where(F.col("copies") > 0).select(F.col("doc_id").alias("ref"), F.explode("positions").alias("position")), "positions")
+    each = rows.join(near(placed), "ref")
+    return each.repartitionByRange("position", "ref").sortWithinPartitions("position", "ref").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
