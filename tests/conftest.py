@@ -51,7 +51,3 @@ def sql(small):
         return sorted((tuple(r[names.index(c)] for c in sorted(columns)) for r in found.fetchall()), key=repr)
 
     return run
-
-
-def rows(df) -> list[tuple]:
-    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)

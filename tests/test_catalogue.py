@@ -1,7 +1,7 @@
 """Every registered query with SQL gives the SQL's rows."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from snaplog.plans import catalogue
 
