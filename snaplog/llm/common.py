@@ -102,7 +102,7 @@ def words(column: str = "text"):
     return F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def bounded(batches: Iterator, most: int = 8 << 20) -> Iterator:
+def bounded(batches: Iterator, most: int = 2 << 20) -> Iterator:
     """Arrow batches cut so that none holds much more than ``most`` bytes, one row at least."""
     for batch in batches:
         rows = batch.num_rows
