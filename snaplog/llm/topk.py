@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SCALE, K, STEP = 256, 5, 50
-SAMPLE, BLOCK, QUERIES_IN_BLOCK, CHUNK = 20_000, 2_048, 1_024, 256
+SAMPLE, BLOCK, QUERIES_IN_BLOCK, CHUNK, PAIRS = 20_000, 2_048, 1_024, 256, 64
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -52,6 +52,8 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
             ids, vectors, norms = held.pop(dim)
             made += 1
             data = np.array(vectors, dtype="<i8").reshape(len(ids), dim)
+            width = next(w for w in (2, 4, 8) if w == 8 or not data.size or -(2 ** (8 * w - 1)) <= data.min() and data.max() < 2 ** (8 * w - 1))  # bytes a component
+            data = data.astype(f"<i{width}")
             return pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([part << 32 | made]), pa.array([len(ids)]), pa.array([norms[0]]), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["dim", "block", "n", "norm", "ids", "data"])
 
         for batch in batches:
@@ -148,8 +150,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = SCALE
     def arrays(r: dict, prefix: str):
         import numpy as np
 
-        n = r["q_n"] if prefix else r["n"]
-        return np.frombuffer(r[f"{prefix}data"], dtype="<i8").reshape(n, r["dim"]), np.frombuffer(r[f"{prefix}ids"], dtype="<i8")
+        n, data = r["q_n"] if prefix else r["n"], r[f"{prefix}data"]
+        width = len(data) // (n * r["dim"]) if r["dim"] else 8
+        return np.frombuffer(data, dtype=f"<i{width}").reshape(n, r["dim"]).astype(np.int64), np.frombuffer(r[f"{prefix}ids"], dtype="<i8")
 
     def seed(batches):
         import numpy as np
@@ -182,8 +185,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = SCALE
     # heads of blocks meet first, by dimension: this leaves the pairs whose lengths can still reach the score
     heads = asked.select("dim", "q_block", "q_norm").join(seeds.select("q_block", "least"), "q_block")
     pairs = heads.join(candidates.select("dim", "block", "norm"), "dim").where(F.col("q_norm") * F.col("norm") * (1 + 1e-9) + 1 >= F.col("least")).select("q_block", "block")
-    met = pairs.join(candidates, "block").join(asked.drop("dim").join(seeds.select("q_block", "low"), "q_block"), "q_block")
-    found = met.repartition("block", "q_block").mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long")
+    # the payload of a block of queries goes to PAIRS blocks of candidates at a time, then each pair to its block of candidates
+    parts = max(1, -(-candidates.count() // PAIRS))
+    part = F.pmod(F.xxhash64("block"), F.lit(parts))
+    each = asked.drop("dim", "q_norm").join(seeds.select("q_block", "low"), "q_block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = pairs.withColumn("part", part).join(each, ["q_block", "part"]).join(candidates, "block")
+    found = met.mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("q_block", "q_row", "query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
