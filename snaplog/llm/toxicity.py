@@ -46,8 +46,8 @@ NEGATIONS = "not no never none nobody nothing neither nor without isn't aren't w
 REPORTING = "said says say saying told tells wrote writes claimed claims called calls quoted quotes reported reports alleged according sagte sagt schrieb nannte behauptet laut dit disait écrit appelait selon dijo dice escribió llamó según".split()
 QUOTES = "\"“”„«»‹›"
 
-#: Output symbols and the prior weight of each.
-OUTPUTS = {"insult": 3.0, "insult_at": 4.0, "insult_negated": 1.5, "insult_reported": 1.5, "threat": 0.3, "threat_at": 1.0, "threat_negated": 0.0, "threat_reported": 0.0}
+#: Output symbols and the prior weight of each: that of the bare symbol counts for every match, the others come on top.
+OUTPUTS = {"insult": 3.0, "insult_at": 1.0, "insult_negated": -1.5, "insult_reported": -1.5, "threat": 0.3, "threat_at": 0.7, "threat_negated": -0.3, "threat_reported": -0.3}
 BIAS, RIDGE = -3.0, 0.05
 
 TOKEN = re.compile(rf"[\w'’]+|[{QUOTES}]")
@@ -151,10 +151,16 @@ class Model:
         return read
 
     def score(self, counts: dict[str, int]) -> float:
-        z = self.bias + sum(self.weights[k] * math.log2(1 + n) for k, n in counts.items())
+        z = self.bias + (sum(self.weights[k] * x for k, x in _strengths(counts).items()) if counts else 0)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def _strengths(counts: dict[str, int]) -> dict[str, float]:
+    """log2(1 + times) of each output symbol; a bare symbol's times are those of all of its kind."""
+    times = {k: sum(n for x, n in counts.items() if x == k or "_" not in k and x.startswith(f"{k}_")) for k in OUTPUTS}
+    return {k: math.log2(1 + n) for k, n in times.items()}
+
+
 def _terms(text: str) -> dict[str, tuple[int, int]]:
     """Words and stems (with *) of a text, each with 64-bit sets of hashed contexts (the words around) and forms."""
     out: dict[str, tuple[int, int]] = {}
@@ -173,7 +179,7 @@ def _fit(rows: list[tuple[dict, int]]) -> tuple[float, dict[str, float]]:
     import numpy as np
 
     names = list(OUTPUTS)
-    x = np.array([[1.0, *(math.log2(1 + c.get(k, 0)) for k in names)] for c, _ in rows]).reshape(-1, 1 + len(names))
+    x = np.array([[1.0, *_strengths(c).values()] for c, _ in rows]).reshape(-1, 1 + len(names))
     y, prior = np.array([t for _, t in rows], dtype=float), np.array([BIAS, *OUTPUTS.values()])
     w, ridge = prior.copy(), RIDGE * np.array([0.01, *[1.0] * len(names)]) * max(1.0, math.sqrt(len(rows)))
     for _ in range(50):
@@ -237,7 +243,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     base = math.log((total[1] + 0.5) / (total[0] + 0.5))
     strong = {r["term"] for r in best if r["term"] and math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) - base >= LIFT}
     words = sorted(t for t in strong if not t.endswith("*"))
-    stems = sorted(t[:-1] for t in strong if t.endswith("*"))
+    counts_of = {r["term"]: (r["clean"], r["toxic"]) for r in best}
+    # a stem gives way to a longer one, or a word, that explains it and stands in fewer clean documents
+    narrower = lambda s, o: o != s and o.startswith(s[:-1]) and counts_of[o][0] < counts_of[s][0] and counts_of[o][1] >= 0.8 * counts_of[s][1]
+    stems = sorted(t[:-1] for t in strong if t.endswith("*") and not any(narrower(t, o) for o in strong))
     stems = [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
     model = Model([w for w in words if not any(w.startswith(s) for s in stems)], stems)
 
