@@ -556,5 +556,27 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN [w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] FOR k IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), r AS (
+  SELECT x AS doc_id, x AS other FROM (SELECT DISTINCT x FROM l)
+  UNION
+  SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other
+), m AS (
+  SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
 QUERIES = {"op9_ngram_join": op9_ngram_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_ngram_join": SQL}

@@ -381,5 +381,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Bytes as pairs of hexadecimal digits; windows by the number of their MD5.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)
+), q AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM w) WHERE r > 1
+), i AS (
+  SELECT doc_id, s, sum(CASE WHEN s - p <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM q)
+), r AS (
+  SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, k
+), e AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS f FROM r
+), x AS (
+  SELECT e.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(d.h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept, max(b) AS last FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(x.n_removed, 0) AS n_removed, coalesce(x.n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN x.doc_id IS NULL THEN d.h ELSE x.kept || substr(d.h, 2 * x.last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id
+"""
+
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_suffix_dedup": SQL}

@@ -83,7 +83,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, count: int = COUNT, conf
     every = [r["token"] for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > USELESS * total).select("token").collect()]
     told = F.filter("tokens", lambda x: ~x.isin(every)) if every else F.col("tokens")
     items = rows.select(F.concat(told, F.array("label")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, count / total)), minConfidence=confidence).fit(items).freqItemsets
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (count - 0.5) / total)), minConfidence=confidence).fit(items).freqItemsets  # Spark rounds the least count up
     sets = written(found.select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq")), "url-itemsets")
     own = F.filter("items", lambda x: ~x.startswith("label="))
     marked = sets.where(F.exists("items", lambda x: x.startswith("label=")) & (F.size("items") > 1)).select(own.alias("antecedent"), F.filter("items", lambda x: x.startswith("label="))[0].alias("label"), "freq")
@@ -121,5 +121,56 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _sql() -> str:
+    """The same in SQL, counting all combinations of each labelled URL's tokens."""
+    tagged = lambda tag, words: f"['{tag}' || lower(x) FOR x IN {words} IF x <> '' AND NOT regexp_matches(x, '^[0-9]+$')]"
+    parts = " || ".join([
+        tagged("host:", "regexp_split_to_array(host, '[.-]')"), tagged("site:", r"[CASE WHEN contains(host, '.') THEN regexp_extract(host, '[^.]*\.[^.]*$') ELSE host END]"),
+        tagged("path:", r"regexp_split_to_array(regexp_replace(path, '\.[A-Za-z0-9]{1,5}$', ''), '[/._-]')"), tagged("kind:", r"[regexp_extract(path, '\.([A-Za-z][A-Za-z0-9]{0,4})$', 1)]"),
+        tagged("query:", r"[split_part(y, '=', 1) FOR y IN string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&')]"),
+    ])
+    fits = []
+    for verdict, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        name, _, rest = rule.partition("/")
+        fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN {{'rule': '{rule}', 'verdict': '{verdict}'}}")
+    seeds = ", ".join(f"'{x}'" for x in SEEDS)
+    return rf"""
+WITH u AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), t AS (
+  SELECT *, list_sort(list_distinct(coalesce({parts}, []))) AS tokens, CASE {" ".join(fits)} END AS fixed FROM u
+), k AS (
+  SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), y AS (
+  SELECT tokens, CASE WHEN len([x FOR x IN regexp_split_to_array(host, '[.-]') IF x IN ({seeds})]) > 0 OR bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow' END AS label
+  FROM t LEFT JOIN k ON k.doc_id = TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) WHERE url IS NOT NULL
+), m AS (
+  SELECT row_number() OVER () AS row, * FROM y WHERE label IS NOT NULL AND len(tokens) > 0
+), n AS (
+  SELECT count(*) AS n FROM m
+), z AS (
+  SELECT token FROM (SELECT unnest(tokens) AS token FROM m) GROUP BY token HAVING count(*) > {USELESS} * (SELECT n FROM n)
+), o AS (
+  SELECT row, any_value(label) AS label, list(token ORDER BY token) AS items FROM (SELECT row, label, unnest(tokens) AS token FROM m) WHERE token NOT IN (SELECT token FROM z) GROUP BY row
+), e AS (
+  SELECT label, items, unnest(range(1, 1 << len(items))) AS mask FROM o
+), s AS (
+  SELECT label, [items[i] FOR i IN range(1, len(items) + 1) IF (mask >> (i - 1)) & 1 = 1] AS part FROM e
+), h AS (
+  SELECT part, count(*) AS held FROM s GROUP BY part
+), r AS (
+  SELECT s.part, s.label, count(*) AS freq, count(*) / any_value(h.held) AS confidence FROM s JOIN h ON h.part = s.part GROUP BY s.part, s.label
+  HAVING count(*) >= ceil(greatest({SUPPORT} * (SELECT n FROM n), {COUNT} - 0.5)) AND count(*) / any_value(h.held) >= {CONFIDENCE}
+), g AS (
+  SELECT part, label, confidence, [x FOR x IN part IF x <> gone] AS smaller FROM (SELECT *, unnest(part) AS gone FROM r WHERE len(part) > 1)
+), f AS (
+  SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM g JOIN r b ON b.part = g.smaller AND b.label = g.label AND b.confidence >= g.confidence WHERE g.part = r.part AND g.label = r.label)
+), v AS (
+  SELECT t.url, arg_max(f.label, {{'c': f.confidence, 'n': f.freq, 'b': f.label = 'block'}}) AS label FROM (SELECT DISTINCT url, tokens FROM t WHERE fixed IS NULL) t JOIN f ON list_has_all(t.tokens, f.part) GROUP BY t.url
+)
+SELECT t.page_id, t.host, t.path, t.fixed.rule AS rule, coalesce(t.fixed.verdict, v.label, 'allow') AS verdict FROM t LEFT JOIN v ON v.url = t.url
+"""
+
+
 QUERIES = {"op7_url_filter": op7_url_filter}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_url_filter": _sql()}

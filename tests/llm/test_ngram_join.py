@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from helpers import rows as sorted_rows
 from llm_helpers import found, frame, words
 
 from snaplog.llm import components, ngram_join
@@ -122,3 +123,8 @@ def test_components(spark):
 def test_query(spark, small, small_texts):
     got = found(ngram_join.op9_ngram_join(spark, small), "doc_id", "n_shingles", "component_id")
     assert got == brute([(i, t) for i, t, _ in small_texts], 4, 85, 100)
+
+
+def test_sql(spark, small, sql):
+    q = ngram_join.op9_ngram_join(spark, small)
+    assert sorted_rows(q) == sql(ngram_join.ORACLES["op9_ngram_join"], q.columns)

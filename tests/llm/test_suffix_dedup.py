@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from helpers import rows as sorted_rows
 from llm_helpers import found, frame, words
 
 from pyspark.sql import functions as F
@@ -85,3 +86,8 @@ def test_query(spark, small, small_texts):
     got = found(suffix_dedup.op10_suffix_dedup(spark, small), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = [(i, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in brute([(i, t) for i, t, _ in small_texts], 100)]
     assert got == sorted(want, key=repr)
+
+
+def test_sql(spark, small, sql):
+    q = suffix_dedup.op10_suffix_dedup(spark, small)
+    assert sorted_rows(q) == sql(suffix_dedup.ORACLES["op10_suffix_dedup"], q.columns)

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from helpers import rows as sorted_rows
 from llm_helpers import found
 
 from snaplog.llm import urlfilter
@@ -82,3 +83,8 @@ def test_labels_and_query(spark, small):
         host, path, rule = parts(urls[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[0]) and r["verdict"] in ("allow", "block")
         assert not rule or r["verdict"] == rule[1]
+
+
+def test_sql(spark, small, sql):
+    q = urlfilter.op7_url_filter(spark, small)
+    assert sorted_rows(q) == sql(urlfilter.ORACLES["op7_url_filter"], q.columns)
