@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     a machine-local folder would lose files there.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
