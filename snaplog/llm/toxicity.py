@@ -38,6 +38,8 @@ from .common import bounded, table, texts
 
 SAMPLE, LEXICON, SUPPORT, LIFT, STEM_WORDS, VARIED = 8_000, 4_000, 4, math.log(20), 4, 24
 STEM_LENGTHS = (4, 5, 6, 7)
+#: Terms that a task holds before it gives their counts on.
+TERMS = 200_000
 REACH, SCOPE = 4, 3
 
 THREATS = "kill murder strangle stab shoot beat burn hurt destroy lynch töten umbringen erschießen verbrennen tuer étrangler brûler frapper matar golpear quemar disparar".split()
@@ -227,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     for term, (x, y) in found.items():
                         old = marks.get(term, (0, 0))
                         marks[term] = old[0] | x, old[1] | y
-            if len(seen[0]) > 500_000:
+            if len(seen[0]) + len(seen[1]) > TERMS:
                 yield emit()
                 seen, marks, documents = fresh()
         yield emit()
@@ -302,7 +304,7 @@ def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
