@@ -26,6 +26,8 @@ from .common import table, written
 
 SCALE, K, STEP = 256, 5, 50
 SAMPLE, BLOCK, QUERIES_IN_BLOCK, CHUNK, PAIRS = 20_000, 2_048, 1_024, 256, 64
+#: Beyond one pair in so many, the scores of a chunk are one matrix product.
+DENSE = 64
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -107,17 +109,31 @@ def search_block(q, q_ids, c, c_ids, turn, k: int, reached, chunk: int = CHUNK):
     rests = [(m, np.linalg.norm(qr[:, m:], axis=1), np.linalg.norm(cr[:, m:], axis=1)) for m in steps]
     margin = 1e-9 * (1 + q_norm.max(initial=0) * c_norm.max(initial=0)) * max(1, dim)
     low = np.asarray(reached, dtype=float).copy()
+    # whole numbers below 2^53 are exact as floats, sums of products too
+    sure = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, dim) < 2**52
+    qf, cf = (q.astype(float), c.astype(float)) if sure else (None, None)
     rows, ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     for at in range(0, len(c), chunk):
         live = np.flatnonzero(q_norm * c_norm[at] + margin >= low)
         if not len(live):
             break
         end = min(len(c), at + chunk)
-        qi, ci = None, None
+        qi, ci, found = None, None, None
         for m, q_rest, c_rest in rests:
             if qi is None:
                 bound = qr[live, :m] @ cr[at:end, :m].T + q_rest[live, None] * c_rest[None, at:end]
-                a, b = np.nonzero(bound + margin >= low[live, None])
+                fits = bound + margin >= low[live, None]
+                if sure and np.count_nonzero(fits) * DENSE > fits.size:
+                    # so many are left that one product of the whole chunk is cheaper than pair by pair
+                    whole = qf[live] @ cf[at:end].T
+                    whole[~fits | (q_ids[live, None] == c_ids[None, at:end])] = -np.inf
+                    least = low[live]
+                    if end - at > k and np.isneginf(least).any():
+                        least = np.maximum(least, np.partition(whole, end - at - k, axis=1)[:, end - at - k])
+                    a, b = np.nonzero((whole >= least[:, None]) & (whole > -np.inf))
+                    qi, ci, found = live[a], b + at, whole[a, b].astype(np.int64)
+                    break
+                a, b = np.nonzero(fits)
                 qi, ci = live[a], b + at
             elif len(qi) * 4 < len(live) * (end - at):
                 bound = np.einsum("ij,ij->i", qr[qi, :m], cr[ci, :m]) + q_rest[qi] * c_rest[ci]
@@ -125,9 +141,10 @@ def search_block(q, q_ids, c, c_ids, turn, k: int, reached, chunk: int = CHUNK):
                 qi, ci = qi[keep], ci[keep]
         if qi is None:
             qi, ci = (x.ravel() for x in np.meshgrid(live, np.arange(at, end), indexing="ij"))
-        keep = q_ids[qi] != c_ids[ci]
-        qi, ci = qi[keep], ci[keep]
-        found = exact(q[qi], c[ci])
+        if found is None:
+            keep = q_ids[qi] != c_ids[ci]
+            qi, ci = qi[keep], ci[keep]
+            found = exact(q[qi], c[ci])
         keep = found >= low[qi]
         rows, ids, scores = np.concatenate([rows, qi[keep]]), np.concatenate([ids, c_ids[ci[keep]]]), np.concatenate([scores, found[keep]])
         order = np.lexsort((ids, -scores, rows))

@@ -51,11 +51,14 @@ def test_pruning_spares_work(spark):
     c = c[np.argsort(-np.linalg.norm(c, axis=1), kind="stable")]
     seen = []
     exact, topk.exact = topk.exact, lambda a, b: seen.append(len(a)) or exact(a, b)
+    dense, topk.DENSE = topk.DENSE, 0  # pair by pair only
     try:
         turn = np.linalg.svd(c.T.astype(float) @ c)[0]
         rows, ids, scores = topk.search_block(c[:20], np.arange(20), c, np.arange(2000), turn, 5, np.full(20, -np.inf))
     finally:
-        topk.exact = exact
+        topk.exact, topk.DENSE = exact, dense
+    again = topk.search_block(c[:20], np.arange(20), c, np.arange(2000), turn, 5, np.full(20, -np.inf))
+    assert all((x == y).all() for x, y in zip(again, (rows, ids, scores)))
     whole = c[:20] @ c.T
     for q in range(20):
         best = sorted((-whole[q, k], k) for k in range(2000) if k != q)[:5]
