@@ -21,9 +21,10 @@ Trees are built where linked documents must meet:
      rare as equal 64-bit hashes of different shingles. These trees hold bitmaps only; what passes
      is a candidate link, and a spanning forest of them is kept.
   2. by component of candidate links: its documents' sets are formed again from their texts and a
-     tree over them compares leaf pairs exactly. A component of more than LIMIT tokens is dealt over
-     several trees that share three of its documents; what is then not in the component's largest
-     class meets all its other parts in a second round. So no pair is left out.
+     tree over them compares leaf pairs exactly. A component of more than LIMIT tokens or
+     DOCUMENTS / SPREAD documents is dealt over several trees that share three of its documents; what
+     is then not in the component's largest class meets all the others in a second round, in trees of
+     at most LIMIT tokens and DOCUMENTS documents and what moves. So no pair is left out.
 
 Defined results: A-Z count as a-z and nothing else is folded; a null or empty text, or one of white
 space, has an empty set, no links and its own doc_id as component; fewer words than ``words`` make one
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import bounded, table, texts, written
 from .components import components
 
-PREFIX, FANOUT, GROUP, LIMIT, DOCUMENTS, SMALL = 16, 8, 8_192, 2_000_000, 4_096, 1_000_000
-PIECE = 1_000
+PREFIX, FANOUT, GROUP, LIMIT, DOCUMENTS, SMALL = 16, 8, 8_192, 2_000_000, 4_096, 500_000
+PIECE, SPREAD = 1_000, 16
 
 
 # ---- sets
@@ -446,7 +447,7 @@ def candidate_links(vertices: DataFrame, num: int, den: int, most: int = GROUP,
             if len(out_a) > 50_000:
                 yield found(out_a, out_b)
                 out_a, out_b = [], []
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
         if carry is not None and carry.num_rows > 1:
             group(carry)
@@ -496,8 +497,9 @@ def exact_links(docs: DataFrame, vertices: DataFrame, groups: DataFrame, words:
     """a, b: links that join up every class of the vertices of each group (vertex, label), and no others."""
     members = groups.withColumnRenamed("label", "g0").join(vertices.select("vertex", "doc_id", "n"), "vertex")
     sizes = members.groupBy("g0").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("count"), F.min("vertex").alias("p0"), F.max("vertex").alias("p1"), F.min_by("vertex", F.xxhash64("vertex")).alias("p2"))
-    parts = F.ceil(F.greatest(F.col("total") / limit, F.col("count") / documents)).cast("long")
-    members = written(members.join(sizes.select("g0", parts.alias("parts"), "p0", "p1", "p2"), "g0"), "ngram-members")
+    whole, alone = F.col("total") / limit, F.col("count") / documents
+    coarse, parts = (F.ceil(F.greatest(whole, x)).cast("long") for x in (alone, SPREAD * alone))
+    members = written(members.join(sizes.select("g0", parts.alias("parts"), coarse.alias("coarse"), F.col("count").alias("size"), "p0", "p1", "p2"), "g0"), "ngram-members")
     wanted = members.select("doc_id", F.col("vertex").alias("of"), "g0", "parts", "p0", "p1", "p2")
     # broadcast only what is known to be small; otherwise both sides are shuffled
     wanted = F.broadcast(wanted) if members.count() <= small else wanted
@@ -523,17 +525,20 @@ def exact_links(docs: DataFrame, vertices: DataFrame, groups: DataFrame, words:
     rows = sets.select("g0", F.explode(where).alias("g1"), F.lit(0).cast("long").alias("g2"), "vertex", F.col("vertex").alias("label"), F.lit(False).alias("moved"), "tokens")
     first = written(_verify(rows, num, den), "ngram-links")
     # second round: of groups dealt over several trees, what is not in the group's largest class meets the other parts
-    dealt = members.where(F.col("parts") > 1).select("vertex", "g0", "parts")
+    dealt = members.where(F.col("parts") > 1).select("vertex", "g0", "parts", "coarse", "size")
     marks = components(first.join(dealt.select("g0").distinct(), "g0", "left_semi").select("a", "b"))
-    classed = written(dealt.join(marks, "vertex", "left").select("vertex", "g0", "parts", F.coalesce("label", "vertex").alias("label")), "ngram-classes")
+    classed = written(dealt.join(marks, "vertex", "left").select("vertex", "g0", "parts", "coarse", "size", F.coalesce("label", "vertex").alias("label")), "ngram-classes")
     counts = classed.groupBy("g0", "label").count()
     largest = counts.groupBy("g0").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
     rest = classed.join(largest, "g0").where(F.col("label") != F.col("most"))
-    pieces = rest.groupBy("g0").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("long").alias("pieces"))
-    held = sets.select("vertex", "tokens").join(classed, "vertex").join(pieces, "g0")
+    # as many trees as keep what moves below the group's size, at least those that memory asks for
+    left = F.count(F.lit(1))
+    most_parts = F.least(F.first("parts"), F.greatest(F.first("coarse"), F.floor(F.first("size") / left))).cast("long")
+    pieces = rest.groupBy("g0").agg(F.ceil(left / PIECE).cast("long").alias("pieces"), most_parts.alias("trees"))
+    held = sets.select("vertex", "tokens").join(classed, "vertex").join(pieces, "g0").withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("trees")).cast("long"))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    stay = held.select("g0", own.alias("g1"), F.explode(every("pieces")).alias("g2"), "vertex", "label", F.lit(False).alias("moved"), "tokens")
-    away = held.join(rest.select("vertex"), "vertex", "left_semi").withColumn("own", own).select("g0", F.explode(every("parts")).alias("g1"), F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("pieces")).cast("long").alias("g2"), "vertex", "label", "tokens", "own").where(F.col("own") != F.col("g1"))
+    stay = held.select("g0", F.col("own").alias("g1"), F.explode(every("pieces")).alias("g2"), "vertex", "label", F.lit(False).alias("moved"), "tokens")
+    away = held.join(rest.select("vertex"), "vertex", "left_semi").select("g0", F.explode(every("trees")).alias("g1"), F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("pieces")).cast("long").alias("g2"), "vertex", "label", "tokens", "own").where(F.col("own") != F.col("g1"))
     second = _verify(stay.unionByName(away.withColumn("moved", F.lit(True)).drop("own")), num, den)
     return first.unionByName(second).select("a", "b")
 

@@ -54,6 +54,7 @@ def family(seed, size, edits):
 
 
 TINY = {"most": 6, "documents": 4, "limit": 400, "small": 0}
+MIDDLE = {"most": 50, "documents": 160}
 
 
 @pytest.mark.parametrize("options", [{}, TINY])
@@ -63,7 +64,7 @@ def test_against_all_pairs(spark, odd, odd_docs, options, n, num):
     assert got == brute([(i, t) for i, t, _ in odd], n, num, 100)
 
 
-@pytest.mark.parametrize("options", [{}, TINY])
+@pytest.mark.parametrize("options", [{}, TINY, MIDDLE])
 def test_families_and_small(spark, small_texts, options):
     texts = [t for seed in range(4) for t in family(seed, 25, 3)] + [t for _, t, _ in small_texts[:80]]
     rows = list(enumerate(random.Random(1).sample(texts, len(texts))))
