@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, table, with_ref, written
 
-LENGTH, GRAM, HOT = 100, 24, 5_000
+LENGTH, GRAM, HOT = 100, 24, 1_000
 SEGMENT = 1 << 19
 TASK_ANCHORS, BLOCK_WINDOWS = 400_000, 40_000
 
