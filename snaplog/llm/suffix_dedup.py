@@ -250,7 +250,7 @@ def contexts(docs: DataFrame, needs: DataFrame, length: int = LENGTH, gram: int
         for batch in bounded(batches):
             rows: list = []
             hot: list = []
-            for ref, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for ref, data, wanted in zip(batch.column("ref").to_pylist(), batch.column("data"), batch.column("wanted").to_pylist()):
                 view = memoryview(data.as_buffer())
                 whole = np.frombuffer(view, dtype=np.uint8)
                 for w in wanted:
@@ -285,7 +285,7 @@ def contexts(docs: DataFrame, needs: DataFrame, length: int = LENGTH, gram: int
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64()) if e is None else pa.array(e)], names=names)
 
     lists = needs.groupBy("ref").agg(F.collect_list(F.struct("h", "start", "end")).alias("wanted"))
-    return docs.join(lists.hint("shuffle_hash"), "ref").select("ref", "data", "wanted").mapInArrow(run, "h long, ref long, first long, context binary, end long")
+    return docs.join(lists.hint("shuffle_hash"), "ref").select("ref", "doc_id", "data", "wanted").mapInArrow(run, "h long, ref long, first long, context binary, end long")
 
 
 def resolve(rows: DataFrame, length: int = LENGTH, most: int = BLOCK_WINDOWS) -> DataFrame:
@@ -351,10 +351,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         raise ValueError("gram must be at least 8, and below length by at most 254")
     rows = with_ref(docs.select("doc_id", "text")).select("ref", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text"), F.lit("")).cast("binary").alias("data"))
     found = written(settle(anchor_rows(rows, length, gram), length, hot), "dedup-anchors")
-    # both joins below read this one exchange
-    dealt = rows.repartition("ref")
+    # both joins below read this one exchange: Spark reuses it while both take the same columns and filters
+    # (an inner join would add the test for null, which is always true, to its side alone)
+    dealt = rows.where(F.col("ref").isNotNull()).repartition("ref").select("ref", "doc_id", "data")
     needs = found.where(F.col("h").isNotNull()).select("ref", "h", "start", "end")
-    marks = found.where(F.col("h").isNull()).select("ref", "start", "end").unionByName(resolve(contexts(dealt.select("ref", "doc_id", "data"), needs, length, gram), length))
+    marks = found.where(F.col("h").isNull()).select("ref", "start", "end").unionByName(resolve(contexts(dealt, needs, length, gram), length))
     lists = marks.groupBy("ref").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def cut(batches):
@@ -363,17 +364,17 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
         for batch in bounded(batches):
             out = []
-            for data, marked in zip(batch.column(1), batch.column(2).to_pylist()):
+            for data, marked in zip(batch.column("data"), batch.column("marks").to_pylist()):
                 view = memoryview(data.as_buffer())
                 marked = marked or []
                 s, e = merged(np.array([m["start"] for m in marked], dtype=np.int64), np.array([m["end"] for m in marked], dtype=np.int64))
                 spans = list(zip(s.tolist(), e.tolist()))
                 edges = [0, *(x for span in spans for x in span), len(view)]
                 out.append((len(view), [{"start": a, "end": b} for a, b in spans], b"".join(view[a:b] for a, b in zip(edges[::2], edges[1::2]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = dealt.select("ref", "doc_id", "data").join(lists.hint("shuffle_hash"), "ref", "left")
-    return joined.select("doc_id", "data", "marks").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    joined = dealt.join(lists.hint("shuffle_hash"), "ref", "left")
+    return joined.select("ref", "doc_id", "data", "marks").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,12 @@ def test_segments_and_flushes(spark, odd, odd_docs, monkeypatch):
     assert rows.where("packed >= 0").count() > 100
 
 
+def test_texts_are_shuffled_once(spark, small):
+    q = suffix_dedup.op10_suffix_dedup(spark, small)
+    q.collect()
+    assert "ReusedExchange" in q._jdf.queryExecution().executedPlan().toString()
+
+
 def test_earlier_windows():
     draw = np.random.default_rng(2)
     x = draw.integers(0, 2, size=(500, 8), dtype=np.uint8)
