@@ -7,7 +7,9 @@ loses, reads again and tries again. Files that no manifest lists don't exist for
 left them there; a manifest that is not whole (its checksum tells) is passed over. So a commit is
 atomic, readers never wait, and a DataFrame of an old manifest stays readable until ``vacuum``.
 
-Durability is that of the file system's close.
+Durability is that of the file system's close. The file system must create files exclusively (local ones and
+HDFS do). Snapshots are held in the Store object that holds them: another process's compaction does not
+know of them, but DataFrames made before it keep reading the files of their manifest.
 """
 
 from __future__ import annotations
