@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -29,21 +31,34 @@ class Files:
             found.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Writes a file that must not exist yet; False if it does."""
-        path = self._path(name)
-        try:
-            out = self._fs.create(path, False)
-        except Exception as error:
-            if self._fs.exists(path):
-                return False
-            raise error
+        """Makes a whole file that must not exist yet; False if it does. No reader ever sees a part of it.
+
+        The text is written under another name first. HDFS renames atomically and not onto a file; a
+        local file gets its name by a hard link, since Hadoop's local rename and create only look first.
+        """
+        path, draft = self._path(name), self._path(f"{name.rpartition('/')[0]}/.draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
         try:
             out.write(bytearray(text.encode()))
-            if hasattr(out, "hsync"):
-                out.hsync()
         finally:
             out.close()
-        return True
+        try:
+            if path.toUri().getScheme() in (None, "file") and self._fs.getScheme() == "file":
+                files, java = self._jvm.java.nio.file.Files, lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    files.createLink(java(path), java(draft))
+                except Exception:
+                    if self._fs.exists(path):
+                        return False
+                    raise
+                return True
+            if self._fs.rename(draft, path):
+                return True
+            if self._fs.exists(path):
+                return False
+            raise OSError(f"can't make {path}")
+        finally:
+            self._fs.delete(draft, False)
 
     def age_ms(self, name: str) -> int:
         now = self._jvm.java.lang.System.currentTimeMillis()

@@ -2,13 +2,13 @@
 
 ``data/<id>/`` holds the files of one commit or run; ``manifest/<number>.json`` lists all that make
 up the log, with the range of sequence numbers of each, the last sequence number given out, and the
-last batch of each stream. A manifest is created exclusively: of two writers of one number the second
+last batch of each stream. A manifest appears whole and exclusively: of two writers of one number the second
 loses, reads again and tries again. Files that no manifest lists don't exist for readers, whatever
 left them there; a manifest that is not whole (its checksum tells) is passed over. So a commit is
 atomic, readers never wait, and a DataFrame of an old manifest stays readable until ``vacuum``.
 
-Durability is that of the file system's close. The file system must create files exclusively (local ones and
-HDFS do). Snapshots are held in the Store object that holds them: another process's compaction does not
+Durability is that of the file system's close. The file system must not rename onto a file, or be local (then
+manifests get their names by hard links). Snapshots are held in the Store object that holds them: another process's compaction does not
 know of them, but DataFrames made before it keep reading the files of their manifest.
 """
 

@@ -7,7 +7,7 @@ import pytest
 
 from snaplog.plans.session import CommandError, Session, Transaction, TransactionError
 from snaplog.sources import wire
-from snaplog.sources.store import Store, TransactionConflict
+from snaplog.sources.store import Manifest, Store, TransactionConflict
 from snaplog.streaming.applier import apply_stream, commands_to_writes
 
 
@@ -108,6 +108,25 @@ def test_concurrent_writers(spark, store):
     assert store.last_seq == 9 and len(contents(store)) == 9
 
 
+def test_no_publication_is_lost(spark, tmp_path):
+    """Six threads race for 60 manifests: each number is given once, and every one is there in the end."""
+    path = f"file://{tmp_path}/race"
+
+    def work(n):
+        own = Store(spark, path)
+        for k in range(10):
+            while True:
+                now = own.manifest()
+                if own._publish(Manifest(now.number, now.last_seq + 1, [*now.files, {"path": f"{n}-{k}"}], {})):
+                    break
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    last = Store(spark, path).manifest()
+    assert (last.number, last.last_seq) == (60, 60) and len({f["path"] for f in last.files}) == 60
+
+
 def test_transactions(store):
     store.set("k", "v1")
     with Transaction(store) as t:
