@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from llm_helpers import frame
 
 from snaplog.llm import common, packing, tokenfiles
 
@@ -30,6 +31,21 @@ def test_engines_agree(encode, odd, small_texts):
         common.Encoder(engine="none")
 
 
+def test_very_long_white_space(spark, tmp_path, encode):
+    texts = [" " * 1_200_000, "ab" + "\n" * 1_200_000 + "cd", "\u3000 \t" * 400_000 + "x", "short  text"]
+    own = common.Encoder().encode
+    want = [encode(text) for text in texts]
+    assert [own(text) for text in texts] == want
+    docs = frame(spark, [(k, text, "a") for k, text in enumerate(texts)])
+    pieces = {}
+    for p in packing.pack_documents(docs).collect():
+        pieces.setdefault(p["doc_id"], []).append((p["start"], p["ids"]))
+    assert [b"".join(ids for _, ids in sorted(pieces[k])) for k in range(4)] == [np.array([*w, 1], dtype="<u4").tobytes() for w in want]
+    tokenfiles.write_token_files(docs, f"file://{tmp_path}/long")
+    got = {r["doc_id"]: r["ids"] for r in tokenfiles.read_token_files(spark, f"file://{tmp_path}/long").collect()}
+    assert [got[k] for k in range(4)] == [np.array([*w, 0], dtype="<u4").tobytes() for w in want]
+
+
 def check_pieces(pieces, rows, encode, length):
     """Pieces give every document back, and fill gapless sequences of this length."""
     by_seq, by_doc = {}, {}
