@@ -12,7 +12,8 @@ starts after all pieces and matches before it.
 
 Defined results: a null or empty text has no span; rows that repeat a doc_id are judged each; a
 very long text is read whole; an empty table gives no rows; other columns are ignored. Added spans
-never touch a base span of the same document (those are found already). No row is shuffled.
+never touch a base span of the same document, as in the SQL: one that reaches past a base span is not
+reported. ``redact`` masks it all the same. No row is shuffled.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def scan(docs: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
 
 
 def found_in(rows: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
-    """``rows`` and the columns base and added of its column text, which has no nulls."""
+    """``rows`` and the columns base, added and found (added ones and those that touch a base span) of its column text, which has no nulls."""
     own = rows.columns
     for name, pattern, group, least in BASE:
         rows = rows.withColumn(f"_{name}", F.filter(located(F.col("text"), pattern if name != "hex" else "[0-9a-f]{%d,}" % least, group), lambda x: F.length(x["found"]) >= least))  # noqa: B023
@@ -131,7 +132,7 @@ def found_in(rows: DataFrame, allowed: tuple = ALLOWED) -> DataFrame:
         added.append(F.when(F.size(f"_{name}") > 0, F.flatten(found)).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
     rows = rows.withColumn("found", F.concat(*added))
     clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return rows.select(*own, "base", F.array_sort(F.filter("found", clear)).alias("added"))
+    return rows.select(*own, "base", F.array_sort(F.filter("found", clear)).alias("added"), "found")
 
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
@@ -149,7 +150,7 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, allowed: tuple = ALLOWED, mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs``, all columns, with secrets masked in text (a null text stays null) and n_chars to match."""
     rows = found_in(as_rows(docs).withColumn("text", F.coalesce(F.col("row.text"), F.lit(""))), allowed)
-    text = F.when(F.col("row.text").isNotNull(), masked(F.col("text"), F.array_sort(F.concat("base", "added"))))
+    text = F.when(F.col("row.text").isNotNull(), masked(F.col("text"), F.array_sort(F.concat("base", "found"))))
     rows = rows.select("row", text.alias("text"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
