@@ -5,15 +5,20 @@ span's hash follows from two entries, so spans are compared in constant time, an
 common extension of two positions takes a binary search. A fingerprint has the text's length, the
 hash of the whole and, as a sketch, the K smallest mixed hashes among all its spans of SPAN code
 points. Likeness of two fingerprints is the share of the K smallest values of their union that both
-hold, an unbiased estimate of the Jaccard similarity of their spans (exact while both have K values
-or fewer); equal texts have equal fingerprints and likeness 1.
+hold, an unbiased estimate of the Jaccard similarity of their spans (exact while the union has K
+values or fewer); equal texts have equal fingerprints and likeness 1.
+
+Two thirds of a text below SHORT code points may hold no span of SPAN. Such a text has a second
+sketch, of its spans of SHORT_SPANS, and two such texts are compared by their second sketches; any
+other two by their first. An edited text is never longer than the text, so a short text and its
+edited text always share this rule.
 
 A document's successor in descending doc_id order is the next row of the same sorted range
 partition; the last row of a partition meets the first of the next non-empty one through boundary
 records, two a partition.
 
 Defined results: a null text is empty; an empty text has an empty sketch, like another empty text
-(1) and nothing else (0); a text shorter than SPAN is one span; a null doc_id comes last; rows that
+(1) and nothing else (0); in the first sketch a text shorter than SPAN is one span; a null doc_id comes last; rows that
 repeat a doc_id are ordered by text; a single document is its own successor; an empty table gives no
 rows; other columns are ignored.
 """
@@ -28,6 +33,8 @@ from .common import bounded, table, texts, written
 #: Two primes below 2^31, and a base for each.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 SPAN, K = 24, 64
+#: Below SHORT code points, two thirds of a text may be shorter than SPAN; spans of both of SHORT_SPANS number K at most then.
+SHORT, SHORT_SPANS = SPAN * 3 // 2, (2, 8)
 
 _powers: dict[int, list] = {}
 
@@ -109,16 +116,24 @@ class PrefixHashes:
                 return few[:k]
         return np.unique(x)[:k]
 
+    def short_sketch(self):
+        """Likewise, of all spans of each of SHORT_SPANS."""
+        import numpy as np
+
+        return np.unique(np.concatenate([self.spans(length) for length in SHORT_SPANS]) >> np.uint64(32))
+
     def fingerprint(self) -> str:
         a, b = self.span(0, self.size)
-        return f"{self.size:x}:{a:08x}{b:08x}:" + self.sketch().astype(">u4").tobytes().hex()
+        sketches = [self.sketch()] + ([self.short_sketch()] if 0 < self.size < SHORT else [])
+        return ":".join([f"{self.size:x}", f"{a:08x}{b:08x}", *(x.astype(">u4").tobytes().hex() for x in sketches)])
 
 
 def likeness(one: str, other: str) -> float:
     """Of two fingerprints, 0 to 1."""
     if one == other:
         return 1.0
-    a, b = (x.rpartition(":")[2] for x in (one, other))
+    a, b = (x.split(":")[2:] for x in (one, other))
+    a, b = (x[min(len(a), len(b)) - 1] for x in (a, b))
     a, b = ({x[k : k + 8] for k in range(0, len(x), 8)} for x in (a, b))
     union = sorted(a | b)[:K]
     return sum(x in a and x in b for x in union) / len(union) if union else 0.0

@@ -41,6 +41,26 @@ def test_likeness():
     assert fp.likeness(fp.PrefixHashes("").fingerprint(), one) == 0
 
 
+def test_short_texts():
+    draw = random.Random(12)
+    pick = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyzéß日😀 ") for _ in range(n))
+    near = lambda a, b: fp.likeness(*(fp.PrefixHashes(t).fingerprint() for t in (a, b)))
+    for n in range(3, 60):
+        for m in (0, 2, n, 200):
+            text, other = pick(n), pick(m)
+            assert 0 < near(text, fp.edited(text, other)) <= 1
+            assert near(text, fp.edited(text, other)) > near(text, other)
+    grams = lambda t: {t[k : k + size] for size in fp.SHORT_SPANS for k in range(max(1, len(t) - size + 1))}
+    for n in (3, 7, 8, 20):
+        a, b = pick(n), pick(n)[: n // 2]
+        b = a[: n - len(b)] + b
+        assert len(grams(a) | grams(b)) <= fp.K and near(a, b) == (1 if a == b else len(grams(a) & grams(b)) / len(grams(a) | grams(b)))
+    assert all(len(fp.PrefixHashes(pick(n)).short_sketch()) <= fp.K for n in range(1, fp.SHORT))
+    # a short and a longer text have only the sketch of SPAN in common
+    long = pick(36)
+    assert near(long, long[:24]) == 1 / 13 and near("", "ab") == 0 and near("a", "a") == 1
+
+
 def brute(rows):
     """In order: doc_id descending, nulls last, then text; each with the next, the last with the first."""
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
