@@ -144,10 +144,13 @@ class Model:
                 done = close.start() if close else len(low)
                 state = 0
                 for token in TOKEN.finditer(low, start, done):
-                    at = token.start()
-                    state, symbol = rules[state][hits.get(at) or fixed.get(token[0].replace("’", "'"), OTHER)]
-                    if symbol:
-                        out[symbol] = out.get(symbol, 0) + 1
+                    at, word = token.start(), token[0].replace("’", "'")
+                    # an apostrophe (an elision, a single quotation mark) may stand before a word that was found, within the token
+                    starts = [at, *(at + k + 1 for k, c in enumerate(word) if c == "'")] if "'" in word else [at]
+                    for mark in [hits[k] for k in starts if k in hits] or [fixed.get(word.strip("'"), OTHER)]:
+                        state, symbol = rules[state][mark]
+                        if symbol:
+                            out[symbol] = out.get(symbol, 0) + 1
             return out
 
         return read

@@ -23,6 +23,17 @@ def test_grammar(text, want):
     assert PLAIN.reader()(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("l'imbécile", {"insult": 1}), ("C’est l’imbécile.", {"insult": 1}), ("an 'idiot'", {"insult": 1}), ("''idiot''", {"insult": 1}), ("'You idiot'", {"insult_at": 1}), ("'not' an idiot", {"insult_negated": 1}),
+        ("idiot's scum", {"insult": 2}), ("idiot'scum", {"insult": 2}), ("it isn't an idiot", {"insult_negated": 1}), ("l'imbéciles", {}), ("n'est pas l'imbécile", {"insult_negated": 1}),
+    ],
+)
+def test_apostrophes(text, want):
+    assert toxicity.Model(["idiot", "scum", "imbécile"], ["dumm"]).reader()(text) == want
+
+
 def test_scores_follow_the_grammar():
     score = lambda text: PLAIN.score(PLAIN.reader()(text))
     assert score("nothing here") < score("not an idiot") < score("an idiot") < score("you idiot") < score("you idiot you scum") <= 1
