@@ -7,8 +7,9 @@ document that crosses a bound gives one boundary record a window. No row is shuf
 last window of all has padding.
 
 Defined results: a null or empty text is its end id alone; rows that repeat a doc_id are packed
-each; an empty table gives no rows; other columns are ignored whatever their names. A lost executor
-costs its tasks only: pass two reads what pass one committed, so offsets never change.
+each; an empty table gives no rows; other columns are ignored whatever their names. A very long text
+is encoded in parts that give the ids of the whole (see Encoder), and cut like any other. A lost
+executor costs its tasks only: pass two reads what pass one committed, so offsets never change.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DEFAULT_VOCABULARY, Encoder, bounded, table, texts, written
+from .common import DEFAULT_VOCABULARY, bounded, encoder, table, texts, written
 
 LENGTH, END = 2048, 1
 
@@ -29,13 +30,14 @@ def encoded(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, engine: str =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        own, part, start = Encoder(vocabulary, engine), TaskContext.get().partitionId(), 0
+        own, part, start = encoder(vocabulary, engine), TaskContext.get().partitionId(), 0
         for batch in bounded(batches):
-            ids = [np.array([*own.encode(text), end], dtype="<u4") for text in batch.column(1).to_pylist()]
+            ids = [own(text, end) for text in batch.column(1).to_pylist()]
             sizes = np.array([len(x) for x in ids], dtype=np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part)), pa.array(starts), pa.array(sizes), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+            columns = [batch.column(0), *map(pa.array, (np.full(len(ids), part), starts, sizes)), pa.array([x.tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
     return texts(docs).mapInArrow(encode, "doc_id long, part long, start_in_part long, n_tokens long, ids binary")
 
@@ -65,9 +67,11 @@ def pack(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
             start, size = low - at[row], high - low
             held = [x.as_py() for x in batch.column(3)]
             ids = [held[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, (start, size, n[row], window, low - window * length)), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            columns = [batch.column(0).take(pa.array(row)), *map(pa.array, (start, size, n[row], window, low - window * length)), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    pieces = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+    return placed.mapInArrow(cut, pieces)
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary: str = DEFAULT_VOCABULARY, engine: str = "tiktoken", end: int = END) -> DataFrame:

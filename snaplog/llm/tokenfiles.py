@@ -1,6 +1,6 @@
 """Token ids in binary files of fixed-width packed ids.
 
-File format (integers of the head are big-endian, the rest little-endian), one shard a file:
+A file holds shards, one after another (integers of a head are big-endian, the rest little-endian):
 
     "SLTK", version u8, bits u8, u16 0, partition u32, number in the partition u32,
     tokens of the partition before u64, tokens u64, documents u32, blocks u32, tokens a block u32, bytes of the body u64
@@ -12,12 +12,15 @@ An id takes the fewest bits that hold the whole vocabulary, lowest bit first; ea
 byte, so a reader finds token i in block i // tokens-a-block at once and unpacks it with numpy.
 
 Documents are sorted by range of doc_id (nulls first), so partitions and shards are in ascending
-order. Writing goes through Spark's text sink, one record a file: the bytes reach any store that
-Spark can write, under its commit protocol, and ``binaryFile`` reads them back. A shard holds about
-SHARD tokens, or one document if that is longer.
+order. Writing goes through Spark's text sink, one record a shard: the bytes reach any store that
+Spark can write, under its commit protocol, and ``binaryFile`` reads them back. The same pass writes
+each partition's number of tokens as a line of its own file, in another folder (kind=totals), so that
+files of tokens are read once. A shard holds about SHARD tokens, or one document if that is longer,
+and a file FILE shards at most: what a task holds is bounded by these two and its longest document.
 
 Defined results: a null or empty text is its end id alone; rows that repeat a doc_id are written
-each; an empty table gives no rows; other columns are ignored.
+each; an empty table gives no rows; other columns are ignored. A very long text is encoded in parts
+that give the ids of the whole (see Encoder), and has a shard of its own.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DEFAULT_VOCABULARY, Encoder, bounded, new_path, table, texts, vocabulary_size
+from .common import DEFAULT_VOCABULARY, bounded, encoder, new_path, table, texts, vocabulary_size
 
 MAGIC, VERSION, END = b"SLTK", 1, 0
 HEAD = ">4sBBHIIQQIIIQ"
-BLOCK, SHARD = 4096, 2_000_000
+BLOCK, SHARD, FILE = 4096, 1 << 18, 32
+#: Bytes of ids in one batch of rows that a reader makes.
+BATCH = 1 << 20
 
 
 def width(size: int) -> int:
@@ -56,19 +61,36 @@ def unpack_bits(data, bits: int, count: int):
     return np.packbits(whole.ravel(), bitorder="little").view("<u4")
 
 
-def write_shard(doc_ids: list, arrays: list, bits: int, partition: int = 0, number: int = 0, before: int = 0, block: int = BLOCK) -> bytes:
+def write_shard(doc_ids: list, arrays: list, bits: int, partition: int = 0, number: int = 0, before: int = 0, block: int = BLOCK) -> bytearray:
+    """A shard's bytes, filled in place: besides them, one block's ids are unpacked at a time."""
     import numpy as np
 
-    starts = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype("<u8")
-    ids = np.concatenate(arrays) if arrays else np.zeros(0, dtype="<u4")
-    if len(ids) and int(ids.max()) >> bits:
+    n = len(arrays)
+    starts = np.zeros(n + 1, dtype="<u8")
+    np.cumsum([len(a) for a in arrays], out=starts[1:])
+    tokens = int(starts[-1])
+    blocks = -(-tokens // block)
+    offsets = np.arange(blocks + 1, dtype="<u8") * (-(-block * bits // 8))
+    if blocks:
+        offsets[-1] = offsets[-2] + -(-(tokens - (blocks - 1) * block) * bits // 8)
+    head = struct.calcsize(HEAD)
+    tables = [np.array([x or 0 for x in doc_ids], dtype="<i8"), np.array([x is not None for x in doc_ids], dtype=np.uint8), starts, offsets]
+    size = sum(t.nbytes for t in tables) + int(offsets[-1])
+    out = bytearray(head + size + 5)
+    struct.pack_into(HEAD, out, 0, MAGIC, VERSION, bits, 0, partition, number, before, tokens, n, blocks, block, size + 4)
+    at = head
+    for t in tables:
+        out[at : at + t.nbytes] = t.tobytes()
+        at += t.nbytes
+    ids = arrays[0] if n == 1 else np.concatenate([np.zeros(0, dtype="<u4"), *arrays])
+    if tokens and int(ids.max()) >> bits:
         raise ValueError(f"an id does not fit {bits} bits")
-    blocks = [pack_bits(ids[k : k + block], bits) for k in range(0, len(ids), block)]
-    offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
-    known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
-    body = b"".join([np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), known.tobytes(), starts.tobytes(), offsets.tobytes(), *blocks])
-    head = struct.pack(HEAD, MAGIC, VERSION, bits, 0, partition, number, before, len(ids), len(arrays), len(blocks), block, len(body) + 4)
-    return head + body + struct.pack("<I", zlib.crc32(body)) + b"\n"
+    for k in range(blocks):
+        low = at + int(offsets[k])
+        out[low : at + int(offsets[k + 1])] = pack_bits(ids[k * block : (k + 1) * block], bits)
+    struct.pack_into("<I", out, head + size, zlib.crc32(memoryview(out)[head : head + size]))
+    out[-1] = 10
+    return out
 
 
 class Shard:
@@ -78,10 +100,13 @@ class Shard:
         import numpy as np
 
         view = memoryview(data)
-        magic, version, self.bits, _, self.partition, self.number, self.before, self.tokens, self.documents, blocks, self.block, size = struct.unpack_from(HEAD, view)
-        if magic != MAGIC or version != VERSION:
+        head = struct.unpack_from(HEAD, view)
+        self.bits, self.partition, self.number, self.before = head[2], *head[4:7]
+        self.tokens, self.documents, blocks, self.block, size = head[7:]
+        if head[0] != MAGIC or head[1] != VERSION:
             raise ValueError("not a token file of this version")
         body = view[struct.calcsize(HEAD) : struct.calcsize(HEAD) + size]
+        self.nbytes = struct.calcsize(HEAD) + size + 1
         if len(body) != size or check and zlib.crc32(body[:-4]) != struct.unpack("<I", body[-4:])[0]:
             raise ValueError("a token file is damaged")
         at, n = 0, self.documents
@@ -92,7 +117,8 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.known, self.starts, self.offsets = take("<i8", n), take("u1", n), take("<u8", n + 1).astype(np.int64), take("<u8", blocks + 1).astype(np.int64)
+        self.doc_ids, self.known = take("<i8", n), take("u1", n)
+        self.starts, self.offsets = take("<u8", n + 1).astype(np.int64), take("<u8", blocks + 1).astype(np.int64)
         self.packed = body[at:-4]
 
     def range(self, low: int, high: int):
@@ -113,64 +139,85 @@ class Shard:
         return self.range(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = DEFAULT_VOCABULARY, engine: str = "tiktoken", end: int = END, shard: int = SHARD) -> None:
-    """Writes shards of all documents, in ascending order of doc_id, under ``path``."""
+def shards(data):
+    """The shards of a file's bytes, one after another."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        own = Shard(view[at:])
+        yield own
+        at += own.nbytes
+
+
+def write_token_files(
+    docs: DataFrame, path: str, vocabulary: str = DEFAULT_VOCABULARY, engine: str = "tiktoken", end: int = END, shard: int = SHARD, in_file: int = FILE
+) -> None:
+    """Writes shards of all documents, in ascending order of doc_id, and each partition's total, under ``path``."""
     bits = width(vocabulary_size(vocabulary))
 
     def encode(batches):
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        own, partition = Encoder(vocabulary, engine), TaskContext.get().partitionId()
+        own, partition = encoder(vocabulary, engine), TaskContext.get().partitionId()
         doc_ids, arrays, held, before, number = [], [], 0, 0, 0
 
-        def close():
-            return pa.RecordBatch.from_arrays([pa.array([write_shard(doc_ids, arrays, bits, partition, number, before)], pa.binary())], names=["shard"])
+        def row(kind: str, record):
+            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([record], pa.binary())], names=["kind", "record"])
 
         for batch in bounded(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc_ids.append(doc_id)
-                arrays.append(np.array([*own.encode(text), end], dtype="<u4"))
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                doc_ids.append(doc_id.as_py())
+                arrays.append(own(text.as_py(), end))
                 held += len(arrays[-1])
                 if held >= shard:
-                    yield close()
+                    yield row("shards", bytes(memoryview(write_shard(doc_ids, arrays, bits, partition, number, before))[:-1]))
                     before, number = before + held, number + 1
                     doc_ids, arrays, held = [], [], 0
         if arrays:
-            yield close()
+            yield row("shards", bytes(memoryview(write_shard(doc_ids, arrays, bits, partition, number, before))[:-1]))
+        if before + held:
+            yield row("totals", f"{partition} {before + held}".encode())
 
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = ordered.mapInArrow(encode, "shard binary")
-    shards.select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    records = ordered.mapInArrow(encode, "kind string, record binary")
+    # the sink ends each record with 0x0A, which is a shard's last byte
+    lines = records.select("kind", F.col("record").cast("string").alias("value"))
+    lines.write.partitionBy("kind").option("maxRecordsPerFile", in_file).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (tokens of all documents before it), n_tokens, ids (binary, unsigned 32-bit little-endian)."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 1)
-    number = lambda at, size: F.conv(F.hex(F.substring("content", at + 1, size)), 16, 10).cast("long")
-    heads = files.select(number(8, 4).alias("partition"), number(24, 8).alias("tokens")).groupBy("partition").agg(F.sum("tokens").alias("tokens"))
+    files = spark.read.format("binaryFile").load(path)
+    kinds = "doc_id long, partition long, start long, n_tokens long, ids binary"
+    if "kind" not in files.columns:  # nothing was written
+        return spark.createDataFrame([], kinds).drop("partition")
+    lines = F.explode(F.split(F.col("content").cast("string"), "\n"))
+    totals = files.where(F.col("kind") == "totals").select(lines.alias("line")).where(F.col("line") != "")
+    part = lambda k: F.split(F.col("line"), " ")[k].cast("long")
+    totals = totals.select(part(0).alias("partition"), part(1).alias("tokens"))
     before = Window.partitionBy(F.lit(0)).orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
     # one row a partition of the writing job, so broadcasting them is safe at any size of input
-    starts = heads.select("partition", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
+    starts = totals.select("partition", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
 
     def parse(batches):
+        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for content in batch.column(0):
-                own = Shard(content.as_buffer())
-                step = max(1, own.documents * SHARD // max(1, 4 * own.tokens))
-                for low in range(0, own.documents, step):
-                    rows = range(low, min(own.documents, low + step))
-                    s = own.starts[low : rows[-1] + 2]
-                    ids = own.range(int(s[0]), int(s[-1]))
+        for batch in bounded(batches):
+            for own in (s for content in batch.column(0) for s in shards(content.as_buffer())):
+                low = 0
+                while low < own.documents:
+                    high = max(low + 1, int(np.searchsorted(own.starts, own.starts[low] + BATCH // 4, side="right")) - 1)
+                    s = own.starts[low : high + 1]
+                    data = own.range(int(s[0]), int(s[-1])).tobytes()
+                    cuts = ((s - s[0]) * 4).tolist()
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(own.doc_ids[low : rows[-1] + 1], mask=own.known[low : rows[-1] + 1] == 0), pa.array([own.partition] * len(rows), pa.int64()), pa.array(s[:-1] + own.before), pa.array(s[1:] - s[:-1]),
-                        pa.array([ids[a - s[0] : b - s[0]].tobytes() for a, b in zip(s[:-1], s[1:])], pa.binary()),
+                        pa.array(own.doc_ids[low:high], mask=own.known[low:high] == 0), pa.array(np.full(high - low, own.partition)),
+                        pa.array(s[:-1] + own.before), pa.array(s[1:] - s[:-1]), pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()),
                     ], names=["doc_id", "partition", "start", "n_tokens", "ids"])
+                    low = high
 
-    rows = files.select("content").mapInArrow(parse, "doc_id long, partition long, start long, n_tokens long, ids binary")
+    rows = files.where(F.col("kind") == "shards").select("content").mapInArrow(parse, kinds)
     return rows.join(F.broadcast(starts), "partition").select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 

@@ -16,26 +16,26 @@ def encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_engines_agree(encode, odd, small_texts):
     draw = random.Random(2)
-    odd_ones = ["<|endoftext|> x", "\x00\x01", "   ", "'S 's don't", "１２３ ½ ²", "  ᠎\u0085 a", "á̧", "𝒳𝒴 👩‍👩‍👧", "x" * 3000]
+    odd_ones = ["<|endoftext|> x", "a <|endoftext|><|endoftext|>  b<|endoftext|", "x<|endoftext|>\n", "\x00\x01", "   ", "'S 's don't", "１２３ ½ ²", "  ᠎\u0085 a", "á̧", "𝒳𝒴 👩‍👩‍👧", "x" * 3000]
     odd_ones += ["".join(chr(draw.choice([draw.randrange(32, 127), draw.randrange(160, 0x3000), draw.randrange(0x1F300, 0x1F600)])) for _ in range(200)) for _ in range(60)]
-    own = common.Encoder().encode
+    own, library = common.Encoder(), common.Encoder(engine="tokenizers")
     for text in [t or "" for _, t, _ in [*odd, *small_texts]] + odd_ones:
-        assert own(text) == encode(text)
+        assert own(text).tolist() == encode(text) == library(text).tolist()
+    assert own("<|endoftext|> x", 7).tolist() == [50256, 2124, 7]
     with pytest.raises(ValueError):
         common.Encoder(engine="none")
 
 
 def test_very_long_white_space(spark, tmp_path, encode):
     texts = [" " * 1_200_000, "ab" + "\n" * 1_200_000 + "cd", "\u3000 \t" * 400_000 + "x", "short  text"]
-    own = common.Encoder().encode
+    own = common.Encoder()
     want = [encode(text) for text in texts]
-    assert [own(text) for text in texts] == want
+    assert [own(text).tolist() for text in texts] == want
     docs = frame(spark, [(k, text, "a") for k, text in enumerate(texts)])
     pieces = {}
     for p in packing.pack_documents(docs).collect():
@@ -46,6 +46,20 @@ def test_very_long_white_space(spark, tmp_path, encode):
     assert [got[k] for k in range(4)] == [np.array([*w, 0], dtype="<u4").tobytes() for w in want]
 
 
+def test_parts_give_the_ids_of_the_whole(encode, odd, small_texts, monkeypatch):
+    whole = " ".join(t or "" for _, t, _ in [*odd, *small_texts])
+    joined = [whole[:300_000], "a b  c\nd e" * 500, "no-seam" * 900, " a" * 900, "1 a 2 b" * 90, "<|endoftext|> x y" * 60, "don't say 's 'll x" * 90]
+    for most in (1, 7, 100, 5_000):
+        monkeypatch.setattr(common, "LONG", most)
+        own = common.Encoder()
+        for text in joined[:1] if most > 100 else joined[1:]:
+            assert own(text).tolist() == encode(text)
+
+
+def test_one_encoder_a_process():
+    assert common.encoder() is common.encoder() and common.encoder(engine="tokenizers") is not common.encoder()
+
+
 def check_pieces(pieces, rows, encode, length):
     """Pieces give every document back, and fill gapless sequences of this length."""
     by_seq, by_doc = {}, {}
@@ -96,12 +110,13 @@ def test_bits(bits):
     assert len(data) == -(-1001 * bits // 8) and (tokenfiles.unpack_bits(data, bits, 1001) == ids).all()
     shard = tokenfiles.write_shard([5, None, 7], [ids[:10], ids[:0], ids], bits, block=100)
     own = tokenfiles.Shard(shard)
+    assert own.nbytes == len(shard) and [s.documents for s in tokenfiles.shards(shard + tokenfiles.write_shard([], [], bits) + shard)] == [3, 0, 3]
     whole = np.concatenate([ids[:10], ids])
     assert all((own.range(a, b) == whole[a:b]).all() for a, b in ((0, 1011), (99, 101), (250, 250), (1000, 1011), (7, 13)))
     assert len(own.document(1)) == 0 and (own.document(2) == ids).all() and own.doc_ids[2] == 7 and not own.known[1]
     for bad in (b"nope" + shard[4:], shard[:100] + bytes([shard[100] ^ 1]) + shard[101:], shard[:-9]):
         with pytest.raises(ValueError):
-            tokenfiles.Shard(bad)
+            tokenfiles.Shard(bytes(bad))
     if bits < 32:
         with pytest.raises(ValueError):
             tokenfiles.write_shard([1], [np.array([2**bits], dtype="<u4")], bits)
@@ -111,11 +126,11 @@ def test_width():
     assert [tokenfiles.width(n) for n in (1, 2, 3, 256, 257, 50257, 65536, 65537)] == [1, 1, 2, 8, 9, 16, 16, 17]
 
 
-@pytest.mark.parametrize("shard", [tokenfiles.SHARD, 50])
-def test_files(spark, tmp_path, encode, odd, odd_docs, repeated, repeated_docs, no_docs, shard):
+@pytest.mark.parametrize(("shard", "in_file"), [(tokenfiles.SHARD, tokenfiles.FILE), (50, 3)])
+def test_files(spark, tmp_path, encode, odd, odd_docs, repeated, repeated_docs, no_docs, shard, in_file):
     for k, (rows, docs) in enumerate(((odd, odd_docs), (repeated, repeated_docs), ([], no_docs))):
         path = f"file://{tmp_path}/{k}"
-        tokenfiles.write_token_files(docs, path, shard=shard)
+        tokenfiles.write_token_files(docs, path, shard=shard, in_file=in_file)
         got = sorted(tokenfiles.read_token_files(spark, path).collect(), key=lambda r: r["start"])
         order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
         at = 0
