@@ -77,9 +77,8 @@ def get_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def get_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point reads of keys whose newest version is a tombstone; a fold over the first ten keys, each read on its own."""
-    log = event_log(spark, sf_dir)
-    return shown(versions.union_runs(*[versions.get(log, f"u{k:08d}") for k in range(10)]))
+    """Reads of the first ten keys, some of whose newest versions are tombstones, as one set."""
+    return shown(versions.multi_get(event_log(spark, sf_dir), _keys(spark, *[f"u{k:08d}" for k in range(10)])))
 
 
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:

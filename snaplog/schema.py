@@ -40,5 +40,8 @@ def violations(log: DataFrame) -> DataFrame:
     return log.where(F.col("key").isNull() | F.col("seq").isNull() | (F.col("seq") < 1) | F.col("kind").isNull() | ~F.col("kind").isin(PUT, TOMBSTONE) | ((F.col("kind") == PUT) & F.col("value").isNull()))
 
 
-def key_bytes(key: bytes | str) -> bytes:
+def key_bytes(key: bytes | str | None) -> bytes:
+    """A null key or value of a command is an empty one."""
+    if key is None:
+        return b""
     return key.encode() if isinstance(key, str) else bytes(key)

@@ -3,17 +3,19 @@
 import pytest
 from helpers import rows
 
-from snaplog.plans import catalogue
+from snaplog.plans import catalogue, store_queries
 
+QUERIES, ORACLES = {**catalogue.QUERIES, **store_queries.QUERIES}, {**catalogue.ORACLES, **store_queries.ORACLES}
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_against_sql(spark, small, sql, name):
-    found = catalogue.QUERIES[name](spark, small)
-    assert rows(found) == sql(catalogue.ORACLES[name], found.columns)
+    found = QUERIES[name](spark, small)
+    assert rows(found) == sql(ORACLES[name], found.columns)
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_modules(spark, small):
@@ -21,4 +23,4 @@ def test_entry_modules(spark, small):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalogue.QUERIES) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
