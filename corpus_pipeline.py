@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaplog.llm import mixing, ngram_join, packing, secrets, toxicity
-from snaplog.llm.common import near, new_path, table, with_ref, written
+from snaplog.llm.common import near, table, with_ref, written
+from snaplog.sources.scratch import new_path, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,11 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
+    """All stages over documents; each stage's result is written to the shared folder and read again.
+
+    What a stage wrote on its way is removed as soon as its result is there.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        found = stage(spark, docs, sf_dir)
-        found.write.parquet(path)
+        with scope(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
         docs = spark.read.schema(found.schema).parquet(path)
     return docs

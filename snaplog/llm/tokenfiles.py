@@ -31,7 +31,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DEFAULT_VOCABULARY, bounded, encoder, new_path, table, texts, vocabulary_size
+from ..sources.scratch import new_path
+from .common import DEFAULT_VOCABULARY, bounded, encoder, table, texts, vocabulary_size
 
 MAGIC, VERSION, END = b"SLTK", 1, 0
 HEAD = ">4sBBHIIQQIIIQ"
