@@ -6,15 +6,17 @@ longest candidates gives each query a score that its k-th best reaches at least.
 meets each block of queries with those blocks of candidates whose greatest length could still reach
 that score. Within a pair of blocks, candidates are taken in descending length, a few hundred at a
 time; both sides are rotated by the right singular vectors of a bounded sample, so that the first
-coordinates hold most of the length. The partial sum over the first coordinates plus the product of
-the rests' lengths (Cauchy-Schwarz) bounds a score from above; pairs whose bound misses the query's
-k-th best go, the others get their integer score. The k-th best rises as the pair proceeds. The
-rotation changes how much is pruned and never what is found: bounds carry a margin for rounding.
+coordinates hold most of the length. Partial sums grow over quarters of the coordinates, then an
+eighth; after each step the partial sum plus the product of the rests' lengths (Cauchy-Schwarz)
+bounds a score from above, and pairs whose bound misses the query's k-th best go. What is left gets
+its integer score. The k-th best rises as the pair of blocks proceeds. The rotation changes how much is
+pruned and never what is found: bounds carry a margin for rounding.
 
 Defined results: vectors that are null or hold null or non-finite components, or have no vec_id,
 take no part; scores need equal dimensions, so vectors of other dimensions are no candidates; a
 query's own candidates exclude all rows with its vec_id; ties go to the smaller vec_id; repeated rows
-count each; an empty table gives no rows; other columns are ignored.
+count each; an empty table gives no rows; other columns are ignored. A vector is one row of a block,
+whatever its dimension; bounds and scores are computed in slices of at most CELLS numbers.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from .common import table, written
 
 SCALE, K, STEP = 256, 5, 50
 SAMPLE, BLOCK, QUERIES_IN_BLOCK, CHUNK, PAIRS = 20_000, 2_048, 1_024, 256, 64
-#: Beyond one pair in so many, the scores of a chunk are one matrix product.
-DENSE = 64
+#: After which eighths of the coordinates pairs are pruned; beyond one pair left in so many, partial sums stay a matrix product.
+EIGHTHS, DENSE, CELLS = (2, 4, 6, 7), 16, 1 << 21
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -73,26 +75,83 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 
 
 def rotation(rows: DataFrame, sample: int = SAMPLE):
-    """dim -> right singular vectors of at most ``sample`` rows (those with the smallest md5 of vec_id)."""
-    import numpy as np
+    """dim -> right singular vectors of at most ``sample`` rows (those with the smallest md5 of vec_id).
 
-    seen: dict[int, list] = {}
-    for r in rows.select("v", F.md5(F.col("vec_id").cast("string")).alias("drawn")).orderBy("drawn", "v").limit(sample).collect():
-        seen.setdefault(len(r["v"]), []).append(r["v"])
-    return {dim: np.linalg.svd(np.array(v, dtype=float).T @ np.array(v, dtype=float))[0] for dim, v in seen.items() if dim}
+    Their matrix of products (dim x dim) is summed where the sample is; only that comes to the driver.
+    """
+    import numpy as np
 
+    def products(batches):
+        import pyarrow as pa
 
-def exact(a, b):
-    """Integer inner products of paired rows."""
+        sums: dict = {}
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                x = np.array(v, dtype=float)
+                held = sums.setdefault(len(x), [np.zeros((len(x), len(x))), []])
+                held[1].append(x)
+                if len(held[1]) == 256:
+                    held[0] += np.array(held[1]).T @ np.array(held[1])
+                    held[1].clear()
+        for dim, (total, rest) in sums.items():
+            if rest:
+                total = total + np.array(rest).T @ np.array(rest)
+            yield pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([total.tobytes()], pa.binary())], names=["dim", "products"])
+
+    drawn = rows.select("v", F.md5(F.col("vec_id").cast("string")).alias("drawn")).orderBy("drawn", "v").limit(sample).select("v")
+    turns: dict = {}
+    for r in drawn.mapInArrow(products, "dim long, products binary").collect():
+        dim = r["dim"]
+        turns[dim] = turns.get(dim, 0) + np.frombuffer(r["products"]).reshape(dim, dim)
+    return {dim: np.linalg.svd(x)[0] for dim, x in turns.items() if dim}
+
+
+def exact(q, c, qi, ci):
+    """Integer inner products of the pairs of rows q[qi], c[ci], a slice at a time."""
     import numpy as np
 
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    dim = max(1, q.shape[1])
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dim
     if most < 2**62:
-        return np.einsum("ij,ij->i", a, b)
-    whole = [sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(a, b)]
+        step = max(1, CELLS // dim)
+        parts = [np.einsum("ij,ij->i", q[qi[k : k + step]], c[ci[k : k + step]]) for k in range(0, len(qi), step)]
+        return np.concatenate([np.zeros(0, dtype=np.int64), *parts])
+    whole = [sum(int(x) * int(y) for x, y in zip(q[a], c[b])) for a, b in zip(qi, ci)]
     return np.array([max(-(2**63), min(2**63 - 1, s)) for s in whole], dtype=np.int64)
 
 
+def possible(qr, cr, low, margin, rests, live, cols):
+    """Pairs of rows (of ``live`` and ``cols``) whose bounds reach the queries' ``low`` after every step."""
+    import numpy as np
+
+    partial, fits = np.zeros((len(live), len(cols))), np.ones((len(live), len(cols)), dtype=bool)
+    qi = ci = part = None
+    done = 0
+    for m, q_rest, c_rest in rests:
+        if qi is None:
+            partial += qr[live, done:m] @ cr[cols, done:m].T
+            fits &= partial + q_rest[live, None] * c_rest[None, cols] + margin >= low[live, None]
+            rows, columns = fits.any(axis=1), fits.any(axis=0)
+            live, cols = live[rows], cols[columns]
+            partial, fits = partial[np.ix_(rows, columns)], fits[np.ix_(rows, columns)]
+            if np.count_nonzero(fits) * DENSE <= fits.size:
+                a, b = np.nonzero(fits)
+                qi, ci, part = live[a], cols[b], partial[a, b]
+        else:
+            step, keep = max(1, CELLS // max(1, m - done)), []
+            for k in range(0, len(qi), step):
+                x, y = qi[k : k + step], ci[k : k + step]
+                part[k : k + step] += np.einsum("ij,ij->i", qr[x, done:m], cr[y, done:m])
+                keep.append(part[k : k + step] + q_rest[x] * c_rest[y] + margin >= low[x])
+            keep = np.concatenate([np.zeros(0, dtype=bool), *keep])
+            qi, ci, part = qi[keep], ci[keep], part[keep]
+        done = m
+    if qi is None:
+        a, b = np.nonzero(fits)
+        qi, ci = live[a], cols[b]
+    return qi, ci
+
+
 def search_block(q, q_ids, c, c_ids, turn, k: int, reached, chunk: int = CHUNK):
     """The k best candidates of each query in one pair of blocks; c is in descending length.
 
@@ -105,46 +164,24 @@ def search_block(q, q_ids, c, c_ids, turn, k: int, reached, chunk: int = CHUNK):
     turn = np.eye(dim) if turn is None else turn
     qr, cr = q.astype(float) @ turn, c.astype(float) @ turn
     q_norm, c_norm = np.linalg.norm(qr, axis=1), np.linalg.norm(cr, axis=1)
-    steps = sorted({max(1, dim // 4), max(1, dim // 2)}) if dim else []
+    steps = sorted({max(1, dim * e // 8) for e in EIGHTHS}) if dim else []
     rests = [(m, np.linalg.norm(qr[:, m:], axis=1), np.linalg.norm(cr[:, m:], axis=1)) for m in steps]
     margin = 1e-9 * (1 + q_norm.max(initial=0) * c_norm.max(initial=0)) * max(1, dim)
     low = np.asarray(reached, dtype=float).copy()
-    # whole numbers below 2^53 are exact as floats, sums of products too
-    sure = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, dim) < 2**52
-    qf, cf = (q.astype(float), c.astype(float)) if sure else (None, None)
     rows, ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     for at in range(0, len(c), chunk):
         live = np.flatnonzero(q_norm * c_norm[at] + margin >= low)
         if not len(live):
             break
-        end = min(len(c), at + chunk)
-        qi, ci, found = None, None, None
-        for m, q_rest, c_rest in rests:
-            if qi is None:
-                bound = qr[live, :m] @ cr[at:end, :m].T + q_rest[live, None] * c_rest[None, at:end]
-                fits = bound + margin >= low[live, None]
-                if sure and np.count_nonzero(fits) * DENSE > fits.size:
-                    # so many are left that one product of the whole chunk is cheaper than pair by pair
-                    whole = qf[live] @ cf[at:end].T
-                    whole[~fits | (q_ids[live, None] == c_ids[None, at:end])] = -np.inf
-                    least = low[live]
-                    if end - at > k and np.isneginf(least).any():
-                        least = np.maximum(least, np.partition(whole, end - at - k, axis=1)[:, end - at - k])
-                    a, b = np.nonzero((whole >= least[:, None]) & (whole > -np.inf))
-                    qi, ci, found = live[a], b + at, whole[a, b].astype(np.int64)
-                    break
-                a, b = np.nonzero(fits)
-                qi, ci = live[a], b + at
-            elif len(qi) * 4 < len(live) * (end - at):
-                bound = np.einsum("ij,ij->i", qr[qi, :m], cr[ci, :m]) + q_rest[qi] * c_rest[ci]
-                keep = bound + margin >= low[qi]
-                qi, ci = qi[keep], ci[keep]
-        if qi is None:
-            qi, ci = (x.ravel() for x in np.meshgrid(live, np.arange(at, end), indexing="ij"))
-        if found is None:
-            keep = q_ids[qi] != c_ids[ci]
-            qi, ci = qi[keep], ci[keep]
-            found = exact(q[qi], c[ci])
+        # queries that know no k-th best yet have nothing to prune by; all their pairs of this chunk count
+        cols = np.arange(at, min(len(c), at + chunk))
+        fresh = np.isneginf(low[live])
+        blind = live[fresh]
+        qi, ci = possible(qr, cr, low, margin, rests, live[~fresh], cols)
+        qi, ci = np.concatenate([qi, np.repeat(blind, len(cols))]), np.concatenate([ci, np.tile(cols, len(blind))])
+        keep = q_ids[qi] != c_ids[ci]
+        qi, ci = qi[keep], ci[keep]
+        found = exact(q, c, qi, ci)
         keep = found >= low[qi]
         rows, ids, scores = np.concatenate([rows, qi[keep]]), np.concatenate([ids, c_ids[ci[keep]]]), np.concatenate([scores, found[keep]])
         order = np.lexsort((ids, -scores, rows))
@@ -199,14 +236,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = SCALE
                 rows, ids, scores = search_block(q, q_ids, c, c_ids, turns.get(r["dim"]), k, np.frombuffer(r["low"]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), r["q_block"])), pa.array(rows), pa.array(q_ids[rows]), pa.array(ids), pa.array(scores)], names=["q_block", "q_row", "query_id", "vec_id", "score"])
 
-    # heads of blocks meet first, by dimension: this leaves the pairs whose lengths can still reach the score
-    heads = asked.select("dim", "q_block", "q_norm").join(seeds.select("q_block", "least"), "q_block")
-    pairs = heads.join(candidates.select("dim", "block", "norm"), "dim").where(F.col("q_norm") * F.col("norm") * (1 + 1e-9) + 1 >= F.col("least")).select("q_block", "block")
-    # the payload of a block of queries goes to PAIRS blocks of candidates at a time, then each pair to its block of candidates
+    # heads of blocks meet first: this leaves the pairs whose lengths can still reach the score. Candidates' heads are
+    # dealt over parts of PAIRS blocks, since one dimension may be all there is
     parts = max(1, -(-candidates.count() // PAIRS))
     part = F.pmod(F.xxhash64("block"), F.lit(parts))
-    each = asked.drop("dim", "q_norm").join(seeds.select("q_block", "low"), "q_block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    met = pairs.withColumn("part", part).join(each, ["q_block", "part"]).join(candidates, "block")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    heads = asked.select("dim", "q_block", "q_norm").join(seeds.select("q_block", "least"), "q_block").withColumn("part", every)
+    reach = F.col("q_norm") * F.col("norm") * (1 + 1e-9) + 1 >= F.col("least")
+    pairs = written(heads.join(candidates.select("dim", "block", "norm", part.alias("part")), ["dim", "part"]).where(reach).select("q_block", "block", "part"), "topk-pairs")
+    # the payload of a block of queries goes to the parts that it still meets, then each pair to its block of candidates
+    each = pairs.select("q_block", "part").distinct().join(asked.drop("dim", "q_norm").join(seeds.select("q_block", "low"), "q_block"), "q_block")
+    met = pairs.join(each, ["q_block", "part"]).join(candidates, "block")
     found = met.mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("q_block", "q_row", "query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
