@@ -10,19 +10,22 @@ table, read the symbols from left to right:
   match     an insult or threat in the state of the other three gives an output symbol
 
 Only clauses that hold an insult or threat are read; an Aho-Corasick automaton over the whole
-lower-cased text finds them. Each output symbol's weight is learned (ridge-penalised logistic
-regression towards prior weights), as is the insult lexicon: whole words and stems that mark
-labelled toxic documents. A score is the logistic function of the bias and the matched clauses' weights.
+lower-cased text finds them. Each clause has a strength: of each of its output symbols, the weight
+times log2(1 + how often). A clause's score is the logistic function of the bias and its strength, a
+document's that of the bias and its clauses' strengths together. Weights are learned (ridge-penalised
+logistic regression towards prior weights), as is the insult lexicon: whole words and stems that mark
+labelled toxic documents. Threats are a fixed list, whose weights are learned like the others.
 
 A term counts as evidence only if it stands in SUPPORT different contexts, and in half as many as
-toxic documents have it (VARIED at most; a stem also in STEM_WORDS different words), so that copies of one toxic document teach nothing but that document's insults.
-Learning is bounded: at most SAMPLE labelled rows of either label, those with the smallest md5 of
-doc_id, and at most LEXICON entries. Rows whose crc32(doc_id as text) mod 5 is 0 are never learned
-from. A doc_id labelled more than once counts as toxic if one of its labels does.
-
-Defined results: a null or empty text gets the bias alone; repeated rows get equal scores; an
-empty table gives no rows; without labels only the fixed lists count, under the prior weights;
-null labels are ignored, and so are other columns.
+toxic documents have it (VARIED at most; a stem also in STEM_WORDS different words), so that copies
+of one toxic document teach nothing but that document's insults. Learning is bounded: at most SAMPLE
+labelled rows of either label, those with the smallest md5 of doc_id; what is learned from them has no
+other limit. Rows whose crc32(doc_id as text) mod 5 is 0 are never learned from. A doc_id labelled more
+than once counts as toxic if one of its labels does.
+
+Defined results: a null or empty text gets the bias alone; a very long text is read whole, clause by
+clause; repeated rows get equal scores; an empty table gives no rows; without labels only the fixed
+lists count, under the prior weights; null labels are ignored, and so are other columns.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, table, texts
 
-SAMPLE, LEXICON, SUPPORT, LIFT, STEM_WORDS, VARIED = 8_000, 4_000, 4, math.log(20), 4, 24
+SAMPLE, SUPPORT, LIFT, STEM_WORDS, VARIED = 8_000, 4, math.log(20), 4, 24
 STEM_LENGTHS = (4, 5, 6, 7)
 #: Terms that a task holds before it gives their counts on.
 TERMS = 200_000
@@ -49,7 +52,10 @@ REPORTING = "said says say saying told tells wrote writes claimed claims called
 QUOTES = "\"“”„«»‹›"
 
 #: Output symbols and the prior weight of each: that of the bare symbol counts for every match, the others come on top.
-OUTPUTS = {"insult": 3.0, "insult_at": 1.0, "insult_negated": -1.5, "insult_reported": -1.5, "threat": 0.3, "threat_at": 0.7, "threat_negated": -0.3, "threat_reported": -0.3}
+OUTPUTS = {
+    "insult": 3.0, "insult_at": 1.0, "insult_negated": -1.5, "insult_reported": -1.5,
+    "threat": 0.5, "threat_at": 5.5, "threat_negated": -0.5, "threat_reported": -0.5,
+}
 BIAS, RIDGE = -3.0, 0.05
 
 TOKEN = re.compile(rf"[\w'’]+|[{QUOTES}]")
@@ -113,7 +119,7 @@ class Model:
         self.words, self.stems, self.bias, self.weights = words, stems, bias, weights or dict(OUTPUTS)
 
     def reader(self):
-        """A function text -> {output symbol: times}."""
+        """A function text -> [{output symbol: times} of each clause that matches]."""
         import ahocorasick
 
         found = ahocorasick.Automaton()
@@ -125,7 +131,7 @@ class Model:
         fixed = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTING, REPORT) | dict.fromkeys(QUOTES, QUOTE)
         rules = grammar()
 
-        def read(text: str) -> dict[str, int]:
+        def read(text: str) -> list[dict[str, int]]:
             low = text.lower()
             hits: dict[int, int] = {}  # start of the word -> symbol
             for end, (size, symbol, whole) in found.iter(low) if marks else ():
@@ -133,7 +139,7 @@ class Model:
                 if (start and (low[start - 1].isalnum() or low[start - 1] == "_")) or (whole and end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_")):
                     continue
                 hits[start] = min(symbol, hits.get(start, symbol))
-            out: dict[str, int] = {}
+            clauses: list[dict[str, int]] = []
             done = 0
             for first in sorted(hits):
                 if first < done:
@@ -142,7 +148,7 @@ class Model:
                 start = max(start, done)
                 close = CLAUSE_END.search(low, first)
                 done = close.start() if close else len(low)
-                state = 0
+                state, out = 0, {}
                 for token in TOKEN.finditer(low, start, done):
                     at, word = token.start(), token[0].replace("’", "'")
                     # an apostrophe (an elision, a single quotation mark) may stand before a word that was found, within the token
@@ -151,19 +157,34 @@ class Model:
                         state, symbol = rules[state][mark]
                         if symbol:
                             out[symbol] = out.get(symbol, 0) + 1
-            return out
+                if out:
+                    clauses.append(out)
+            return clauses
 
         return read
 
-    def score(self, counts: dict[str, int]) -> float:
-        z = self.bias + (sum(self.weights[k] * x for k, x in _strengths(counts).items()) if counts else 0)
+    def score(self, clauses: list[dict[str, int]]) -> float:
+        """Of one clause or several together."""
+        z = self.bias + sum(self.weights[k] * x for k, x in _strengths(clauses).items() if x)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _strengths(counts: dict[str, int]) -> dict[str, float]:
-    """log2(1 + times) of each output symbol; a bare symbol's times are those of all of its kind."""
-    times = {k: sum(n for x, n in counts.items() if x == k or "_" not in k and x.startswith(f"{k}_")) for k in OUTPUTS}
-    return {k: math.log2(1 + n) for k, n in times.items()}
+def _strengths(clauses: list[dict[str, int]]) -> dict[str, float]:
+    """Of each output symbol the sum, over clauses, of log2(1 + times); a bare symbol's times are those of all of its kind."""
+    out = dict.fromkeys(OUTPUTS, 0.0)
+    for counts in clauses:
+        for k in OUTPUTS:
+            out[k] += math.log2(1 + sum(n for x, n in counts.items() if x == k or "_" not in k and x.startswith(f"{k}_")))
+    return out
+
+
+def shown(clauses: list[dict[str, int]]) -> str:
+    """Clauses as text: apart by |, symbols by ; within."""
+    return "|".join(";".join(f"{k}={n}" for k, n in sorted(c.items())) for c in clauses)
+
+
+def parsed(text: str) -> list[dict[str, int]]:
+    return [{k: int(n) for k, n in (x.split("=") for x in c.split(";"))} for c in text.split("|") if c]
 
 
 def _terms(text: str) -> dict[str, tuple[int, int]]:
@@ -179,7 +200,7 @@ def _terms(text: str) -> dict[str, tuple[int, int]]:
     return out
 
 
-def _fit(rows: list[tuple[dict, int]]) -> tuple[float, dict[str, float]]:
+def _fit(rows: list[tuple[list, int]]) -> tuple[float, dict[str, float]]:
     """Newton's method on the penalised likelihood; as many columns as output symbols."""
     import numpy as np
 
@@ -241,12 +262,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = rows.mapInArrow(count, schema).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("contexts")).alias("contexts"), F.bit_count(F.bit_or("forms")).alias("forms"))
     # words of one much-copied document have its contexts only, and are not evidence
     varied = (F.col("contexts") >= F.greatest(F.lit(SUPPORT), F.least(F.lit(VARIED), F.col("toxic") / 2))) & (~F.col("term").endswith("*") | (F.col("forms") >= STEM_WORDS))
-    lift = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
-    # at most LEXICON rows come to the driver, and the totals
-    best = counts.where((F.col("term") == "") | varied & (F.col("toxic") > F.col("clean"))).orderBy(F.col("term") != "", (lift * F.log1p("toxic")).desc(), "term").limit(LEXICON).collect()
-    total = next(((r["clean"], r["toxic"]) for r in best if r["term"] == ""), (0, 0))
-    base = math.log((total[1] + 0.5) / (total[0] + 0.5))
-    strong = {r["term"] for r in best if r["term"] and math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) - base >= LIFT}
+    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    base = math.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5))
+    lift = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - F.lit(base)
+    # strong terms of a bounded sample come to the driver
+    best = counts.where((F.col("term") != "") & varied & (F.col("toxic") > F.col("clean")) & (lift >= LIFT)).collect()
+    strong = {r["term"] for r in best}
     words = sorted(t for t in strong if not t.endswith("*"))
     counts_of = {r["term"]: (r["clean"], r["toxic"]) for r in best}
     # a stem gives way to a longer one, or a word, that explains it and stands in fewer clean documents
@@ -261,11 +282,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         read = model.reader()
         for batch in bounded(batches):
             found = [read(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([";".join(f"{k}={n}" for k, n in sorted(c.items())) for c in found]), batch.column(2)], names=["counts", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([shown(c) for c in found]), batch.column(2)], names=["clauses", "toxic"])
 
     # at most 2 * sample short strings come to the driver, equal ones as one row
-    kinds = rows.mapInArrow(features, "counts string, toxic int").groupBy("counts", "toxic").count().orderBy("counts", "toxic").collect()
-    seen = [({k: int(n) for k, n in (x.split("=") for x in r["counts"].split(";") if x)}, r["toxic"]) for r in kinds for _ in range(r["count"])]
+    kinds = rows.mapInArrow(features, "clauses string, toxic int").groupBy("clauses", "toxic").count().orderBy("clauses", "toxic").collect()
+    seen = [(parsed(r["clauses"]), r["toxic"]) for r in kinds for _ in range(r["count"])]
     if seen:
         model.bias, model.weights = _fit(seen)
         # the sample has its own share of toxic rows; the bias goes back to the labels' share
@@ -284,7 +305,8 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         read = model.reader()
         for batch in bounded(batches):
             found = [read(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(c) for c in found], pa.float64()), pa.array([";".join(f"{k}={n}" for k, n in sorted(c.items())) for c in found]), *batch.columns[2:]], names=["doc_id", "toxicity", "clauses", *batch.schema.names[2:]])
+            columns = [batch.column(0), pa.array([model.score(c) for c in found], pa.float64()), pa.array([shown(c) for c in found]), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxicity", "clauses", *batch.schema.names[2:]])
 
     kinds = dict(docs.dtypes)
     return texts(docs, *keep).mapInArrow(run, ", ".join(["doc_id long, toxicity double, clauses string", *(f"`{c}` {kinds[c]}" for c in keep)]))

@@ -1,6 +1,8 @@
 """The grammar by hand, and held-out accuracy of what is learned."""
 
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -11,6 +13,14 @@ from snaplog.llm import toxicity
 PLAIN = toxicity.Model(["idiot", "scum"], ["dumm"])
 
 
+def pooled(clauses):
+    out = {}
+    for c in clauses:
+        for k, n in c.items():
+            out[k] = out.get(k, 0) + n
+    return out
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -20,7 +30,7 @@ PLAIN = toxicity.Model(["idiot", "scum"], ["dumm"])
     ],
 )
 def test_grammar(text, want):
-    assert PLAIN.reader()(text) == want
+    assert pooled(PLAIN.reader()(text)) == want
 
 
 @pytest.mark.parametrize(
@@ -31,7 +41,7 @@ def test_grammar(text, want):
     ],
 )
 def test_apostrophes(text, want):
-    assert toxicity.Model(["idiot", "scum", "imbécile"], ["dumm"]).reader()(text) == want
+    assert pooled(toxicity.Model(["idiot", "scum", "imbécile"], ["dumm"]).reader()(text)) == want
 
 
 def test_scores_follow_the_grammar():
@@ -39,6 +49,20 @@ def test_scores_follow_the_grammar():
     assert score("nothing here") < score("not an idiot") < score("an idiot") < score("you idiot") < score("you idiot you scum") <= 1
 
 
+def test_clauses_have_scores():
+    read = PLAIN.reader()
+    found = read("An idiot, you scum! Not an idiot; he said scum. Kill. I kill you\nnothing")
+    assert found == [{"insult": 1, "insult_at": 1}, {"insult_negated": 1}, {"insult_reported": 1}, {"threat": 1}, {"threat": 1}]
+    assert toxicity.parsed(toxicity.shown(found)) == found and toxicity.parsed("") == []
+    one = lambda text: PLAIN.score(read(text))
+    bare, aimed = one("an idiot"), one("you idiot")
+    assert one("not an idiot") < bare < aimed and one("he said idiot") < bare
+    assert one("a kill") < 0.5 <= one("you I kill") and one("you never kill") < one("you I kill") and one('you say "kill"') < 0.5
+    # a document's evidence is its clauses' together
+    assert one("an idiot. an idiot") > one("an idiot idiot") > bare
+    assert one("word " * 300_000 + "you idiot") == aimed
+
+
 def corpus(seed, n):
     draw = random.Random(seed)
     insults = ["zork", "blagg", "fnord", *(f"grumpf{s}" for s in ("a", "el", "ing", "um", "or", "ix"))]
@@ -85,6 +109,44 @@ def test_edges(spark, odd_docs, repeated_docs, no_docs):
     assert kept.where("text is null").count() == 1 and set(EXTRA) < set(kept.columns) and SCHEMA
 
 
+def plain_score(model, text):
+    """The grammar read word by word over every clause, without automaton or transducers, and the sum written out."""
+    z = model.bias
+    for clause in re.split(r"[.!?;\n\r]+", text.lower()):
+        last = {"at": -99, "negated": -99}
+        quoted = verb = False
+        seen = dict.fromkeys(toxicity.OUTPUTS, 0)
+        for k, word in enumerate(re.findall(rf"[\w]+|[{toxicity.QUOTES}]", clause)):
+            kind = "threat" if word in toxicity.THREATS else "insult" if word in model.words or any(word.startswith(s) for s in model.stems) else None
+            if kind == "insult" or kind == "threat":
+                mark = "reported" if quoted or verb else "negated" if k - last["negated"] <= toxicity.SCOPE else "at" if k - last["at"] <= toxicity.REACH else None
+                seen[kind] += 1
+                if mark:
+                    seen[f"{kind}_{mark}"] += 1
+            elif word in toxicity.QUOTES:
+                quoted = not quoted
+            elif word in toxicity.REPORTING:
+                verb = True
+            elif word in toxicity.NEGATIONS:
+                last["negated"] = k
+            elif word in toxicity.TARGETS:
+                last["at"] = k
+        z += sum(model.weights[x] * math.log2(1 + n) for x, n in seen.items())
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def test_scores_against_plain_reading(spark, small_docs, small_texts):
+    hard = ["clown", "idiot", "loser", "trash", "kill", "you", "not", "said", '"', "he", "word", ".", "!", "\n", "never", "burn"]
+    draw = random.Random(11)
+    rows = [(k, " ".join(draw.choice(hard) for _ in range(draw.randint(0, 40))), "a") for k in range(300)]
+    texts = [(i, t, s) for i, t, s in small_texts if t and "'" not in t and "’" not in t]
+    model = toxicity.Model(["clown", "idiot"], ["los", "trash"], -4.0, {k: w + 0.1 for k, w in toxicity.OUTPUTS.items()})
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(frame(spark, rows), model).collect()}
+    assert all(got[i] == pytest.approx(plain_score(model, t), abs=1e-12) for i, t, _ in rows) and len({round(x, 6) for x in got.values()}) > 100
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(small_docs, model).collect()}
+    assert all(got[i] == pytest.approx(plain_score(model, t), abs=1e-12) for i, t, _ in texts)
+
+
 def test_query(spark, small):
     rows = toxicity.op5_toxicity(spark, small).collect()
     assert len(rows) == 200 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for r in rows)
