@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives every vertex its smallest neighbour (or itself, if that is smaller) as parent and
     then its parent's parent, and contracts the links to parents; what is left of a hub's links
     after a round is nothing. Every round is a written table. When no link is left, labels are found
-    by following the rounds' parents from the last to the first.
+    by following the rounds' parents from the last to the first. The joins have tables on both sides,
+    so that adaptive execution can split the rows of a hub, which all have one parent.
     """
     ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = written(ends.where(F.col("a") != F.col("b")).distinct(), "links")
@@ -25,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         if len(rounds) == ROUNDS:
             raise RuntimeError("components did not settle")
         near = left.select(F.col("b").alias("vertex"), F.col("a").alias("low")).unionByName(left.select(F.col("a").alias("vertex"), F.col("a").alias("low")))
-        first = near.groupBy("vertex").agg(F.min("low").alias("parent"))
+        # written, so that in the join below both sides are exchanges of their own, and Spark may split those of a hub
+        first = written(near.groupBy("vertex").agg(F.min("low").alias("parent")), "nearest")
         above = first.where(F.col("vertex") != F.col("parent")).select(F.col("vertex").alias("parent"), F.col("parent").alias("next"))
         parents = written(first.join(above, "parent", "left").select("vertex", F.coalesce("next", "parent").alias("parent")), "parents")
         rounds.append(parents)

@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join: signature trees over word shingles.
 
 A document's set holds 64-bit hashes of its distinct shingles of ``words`` words. Documents with
-equal sets become one vertex. Vertices of similarity ``share`` or more are linked; the result is each
+equal sets, by 128 bits of a hash of the whole set, become one vertex. Vertices of similarity ``share`` or more are linked; the result is each
 document's connected component.
 
 Signature trees do the join. A leaf has a document's token bitmap (a power of two of bits, at least
@@ -14,12 +14,15 @@ so that a group of n copies costs n steps and not n squared.
 
 Trees are built where linked documents must meet:
 
-  1. by token: of a linked pair, the smallest hashes of the union are in both sets unless all of
-     them fall outside the intersection. Each vertex goes to the trees of its PREFIX smallest hashes
-     (fewer where size alone proves that they suffice). For sets that this prefix does not cover
-     whole, a linked pair is missed with a chance of (1 - share) ** PREFIX at most, 7e-14 at 0.85, as
-     rare as equal 64-bit hashes of different shingles. These trees hold bitmaps only; what passes
-     is a candidate link, and a spanning forest of them is kept.
+  1. by token: in whatever order tokens stand, of a linked pair the first ones of the union are in
+     both sets unless all of them fall outside the intersection. Tokens stand in order of their
+     hash, but those of more than GROUP vertices come last. Each vertex goes to the trees of its
+     PREFIX first tokens (fewer where size alone proves that they suffice), as far as the 2 * PREFIX
+     of smallest hash hold them. For sets that these do not cover whole, a linked pair is missed
+     with a chance of about (1 - share) ** PREFIX, 7e-14 at 0.85, as rare as equal 64-bit hashes of
+     different shingles. These trees hold bitmaps only; what passes is a candidate link, and a
+     spanning forest of them is kept. A token that still has more than GROUP vertices is dealt by
+     bands of size, of which only neighbours can link, and then over pairs of parts.
   2. by component of candidate links: its documents' sets are formed again from their texts and a
      tree over them compares leaf pairs exactly. A component of more than LIMIT tokens or
      DOCUMENTS / SPREAD documents is dealt over several trees that share three of its documents; what
@@ -29,11 +32,14 @@ Trees are built where linked documents must meet:
 Defined results: A-Z count as a-z and nothing else is folded; a null or empty text, or one of white
 space, has an empty set, no links and its own doc_id as component; fewer words than ``words`` make one
 shingle; rows with a null doc_id link with nothing and have a null component; rows that repeat a
-doc_id are separate documents of that id; an empty table gives no rows; other columns are ignored.
+doc_id are separate documents of that id; an empty table gives no rows; other columns are ignored. A
+very long text is one set like any other, held whole by the task that reads it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,12 +108,12 @@ class Shingler:
         return np.unique(self.mixed(total))
 
 
-def key_of(tokens) -> int:
-    """64 signed bits that stand for a set."""
+def key_of(tokens) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed longs."""
     import xxhash
 
-    x = xxhash.xxh3_64_intdigest(tokens.tobytes())
-    return x - (1 << 64) if x >> 63 else x
+    x = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return tuple(k - (1 << 64) if k >> 63 else k for k in (x >> 64, x & (1 << 64) - 1))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -365,24 +371,52 @@ class Verifier:
 
 
 def document_sets(docs: DataFrame, words: int, num: int, den: int, prefix: int = PREFIX) -> DataFrame:
-    """doc_id, n (set size), vertex (null: nothing to link), prefix (smallest tokens), map (bitmap)."""
+    """doc_id, n (set size), k0, k1 (128 bits of the set; null: nothing to link), prefix (smallest tokens, twice as many as trees take), map (bitmap)."""
 
     def run(batches):
         import pyarrow as pa
 
         shingle = Shingler(words)
+        names, kinds = ["n", "k0", "k1", "prefix", "map"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for batch in bounded(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = shingle(text)
-                n = len(tokens)
-                if not n or doc_id is None:
-                    rows.append((n, None, None, None))
+                if not len(tokens) or doc_id is None:
+                    rows.append((len(tokens), None, None, None, None))
                 else:
-                    rows.append((n, key_of(tokens), tokens[: min(prefix, prefix_length(n, num, den))].view("i8").tolist(), bitmap(tokens).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())], names=["doc_id", "n", "vertex", "prefix", "map"])
+                    rows.append((len(tokens), *key_of(tokens), tokens[: 2 * prefix].view("i8").tolist(), bitmap(tokens).tobytes()))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n long, k0 long, k1 long, prefix array<long>, map binary")
+
+
+def taken_tokens(vertices: DataFrame, often: DataFrame, num: int, den: int, prefix: int = PREFIX, small: int = SMALL) -> DataFrame:
+    """token, vertex, n, map: each vertex with the tokens whose trees it goes to, those of ``often`` (column token) last in order.
+
+    ``often`` comes to the driver if it has at most ``small`` rows; beyond that, order is that of hashes alone.
+    """
+    import numpy as np
+
+    held = often.count()
+    hot = np.sort(np.array([r["token"] for r in often.select("token").collect()], dtype=np.int64)) if held <= small else np.zeros(0, dtype=np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            chosen = []
+            for size, tokens in zip(n.tolist(), batch.column("prefix").to_pylist()):
+                own = np.array(tokens, dtype=np.int64)
+                last = np.isin(own, hot)
+                chosen.append(own[np.argsort(last, kind="stable")][: min(prefix, prefix_length(size, num, den))])
+            row = pa.array(np.repeat(np.arange(len(n)), [len(c) for c in chosen]))
+            columns = [pa.array(np.concatenate(chosen)) if chosen else pa.array([], pa.int64()), *(batch.column(c).take(row) for c in ("vertex", "n", "map"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "vertex", "n", "map"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, vertex long, prefix array<long>, map binary")
+    return vertices.select("vertex", "n", "prefix", "map").mapInArrow(run, "token long, vertex long, n long, map binary")
 
 
 def _runs(batches, keys: int):
@@ -411,7 +445,7 @@ def _runs(batches, keys: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def candidate_links(vertices: DataFrame, num: int, den: int, most: int = GROUP, small: int = SMALL) -> DataFrame:
+def candidate_links(vertices: DataFrame, num: int, den: int, most: int = GROUP, small: int = SMALL, prefix: int = PREFIX) -> DataFrame:
     """a, b: a spanning forest, for each token, of the possible links among its documents."""
 
     def run(batches):
@@ -439,7 +473,7 @@ def candidate_links(vertices: DataFrame, num: int, den: int, most: int = GROUP,
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch] if carry is None else [*carry.to_batches(), batch]).combine_chunks()
-            keys = [t.column(k).to_numpy() for k in ("token", "g1", "g2")]
+            keys = [t.column(k).to_numpy() for k in ("token", "band", "g1", "g2")]
             cuts = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, [t.num_rows]])
             carry = t.slice(int(cuts[-2])).combine_chunks()
             for k in np.flatnonzero(np.diff(cuts[:-1]) > 1).tolist():
@@ -453,19 +487,29 @@ def candidate_links(vertices: DataFrame, num: int, den: int, most: int = GROUP,
             group(carry)
         yield found(out_a, out_b)
 
-    rows = vertices.select(F.explode("prefix").alias("token"), "vertex", "n", "map")
     zero = F.lit(0).cast("long")
-    # a token of very many documents is dealt over several trees, one for each pair of parts
-    often = written(rows.groupBy("token").count().where(F.col("count") > most).select("token", F.ceil(2 * F.col("count") / most).cast("long").alias("parts")), "ngram-frequent")
+    counted = vertices.select(F.explode(F.slice("prefix", 1, prefix)).alias("token")).groupBy("token").count()
+    rows = taken_tokens(vertices, written(counted.where(F.col("count") > most), "ngram-hot"), num, den, prefix, small)
+    # what still is frequent is dealt over several trees: by bands of size, then one for each pair of parts
+    often = written(rows.groupBy("token").count().where(F.col("count") > most).select("token"), "ngram-frequent")
     n = often.count()
     if n:
-        marked = rows.join(F.broadcast(often) if n <= small else often, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+        few = F.broadcast(often) if n <= small else often
+        marked = rows.join(few.withColumn("often", F.lit(True)), "token", "left")
+        # sizes that can link differ by a factor of den / num at most, so they share one of two bands
+        band = F.floor(F.log("n") / F.lit(math.log(den / num) * (1 + 1e-9) if den > num else 1e-9)).cast("long")
+        bands = F.when(F.col("often"), F.array(band, band + 1)).otherwise(F.array(zero))
+        banded = marked.select("token", "often", F.explode(bands).alias("band"), "vertex", "n", "map")
+        parts = written(banded.where("often").groupBy("token", "band").count().select("token", "band", F.ceil(2 * F.col("count") / most).cast("long").alias("parts")), "ngram-parts")
+        parts = F.broadcast(parts) if parts.count() <= small else parts
+        placed = banded.join(parts, ["token", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
         part = F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("long")
-        dealt = marked.withColumn("p", part).select("token", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("q"), "p", "vertex", "n", "map")
-        rows = dealt.select("token", F.least("p", "q").alias("g1"), F.greatest("p", "q").alias("g2"), "vertex", "n", "map")
+        dealt = placed.select("token", "band", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("q"), part.alias("p"), "vertex", "n", "map")
+        rows = dealt.select("token", "band", F.least("p", "q").alias("g1"), F.greatest("p", "q").alias("g2"), "vertex", "n", "map")
     else:
-        rows = rows.select("token", zero.alias("g1"), zero.alias("g2"), "vertex", "n", "map")
-    return rows.repartition("token", "g1", "g2").sortWithinPartitions("token", "g1", "g2", "n", "vertex").mapInArrow(run, "a long, b long")
+        rows = rows.select("token", zero.alias("band"), zero.alias("g1"), zero.alias("g2"), "vertex", "n", "map")
+    keys = ("token", "band", "g1", "g2")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "vertex").mapInArrow(run, "a long, b long")
 
 
 def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -495,12 +539,12 @@ def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def exact_links(docs: DataFrame, vertices: DataFrame, groups: DataFrame, words: int, num: int, den: int, limit: int = LIMIT, documents: int = DOCUMENTS, small: int = SMALL) -> DataFrame:
     """a, b: links that join up every class of the vertices of each group (vertex, label), and no others."""
-    members = groups.withColumnRenamed("label", "g0").join(vertices.select("vertex", "doc_id", "n"), "vertex")
+    members = groups.withColumnRenamed("label", "g0").join(vertices.select("vertex", "doc_id", "n", "k0", "k1"), "vertex")
     sizes = members.groupBy("g0").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("count"), F.min("vertex").alias("p0"), F.max("vertex").alias("p1"), F.min_by("vertex", F.xxhash64("vertex")).alias("p2"))
     whole, alone = F.col("total") / limit, F.col("count") / documents
     coarse, parts = (F.ceil(F.greatest(whole, x)).cast("long") for x in (alone, SPREAD * alone))
     members = written(members.join(sizes.select("g0", parts.alias("parts"), coarse.alias("coarse"), F.col("count").alias("size"), "p0", "p1", "p2"), "g0"), "ngram-members")
-    wanted = members.select("doc_id", F.col("vertex").alias("of"), "g0", "parts", "p0", "p1", "p2")
+    wanted = members.select("doc_id", F.col("vertex").alias("of"), "k0", "k1", "g0", "parts", "p0", "p1", "p2")
     # broadcast only what is known to be small; otherwise both sides are shuffled
     wanted = F.broadcast(wanted) if members.count() <= small else wanted
 
@@ -510,10 +554,13 @@ def exact_links(docs: DataFrame, vertices: DataFrame, groups: DataFrame, words:
         shingle = Shingler(words)
         for batch in bounded(batches):
             sets = [shingle(text) for text in batch.column(1).to_pylist()]
-            keep = pa.array([len(s) > 0 and key_of(s) == v for s, v in zip(sets, batch.column(2).to_pylist())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["vertex", "g0", "parts", "p0", "p1", "p2", "tokens"]).filter(keep)
+            wanted_keys = zip(batch.column("k0").to_pylist(), batch.column("k1").to_pylist())
+            keep = pa.array([len(s) > 0 and key_of(s) == key for s, key in zip(sets, wanted_keys)])
+            columns = [*(batch.column(c) for c in ("of", "g0", "parts", "p0", "p1", "p2")), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vertex", "g0", "parts", "p0", "p1", "p2", "tokens"]).filter(keep)
 
-    sets = texts(docs).join(wanted, "doc_id").select("doc_id", "text", "of", "g0", "parts", "p0", "p1", "p2").mapInArrow(form, "vertex long, g0 long, parts long, p0 long, p1 long, p2 long, tokens binary")
+    met = texts(docs).join(wanted, "doc_id").select("doc_id", "text", "of", "k0", "k1", "g0", "parts", "p0", "p1", "p2")
+    sets = met.mapInArrow(form, "vertex long, g0 long, parts long, p0 long, p1 long, p2 long, tokens binary")
     own = F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("long")
     several = not members.where(F.col("parts") > 1).isEmpty()
     if not several:
@@ -547,14 +594,17 @@ def join_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each document."""
     found = written(document_sets(docs, words, num, den, prefix), "ngram-sets")
     # equal sets, however many, become one vertex; partial aggregation does that before the shuffle
-    known = found.where(F.col("vertex").isNotNull())
-    vertices = written(known.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map")), "ngram-vertices")
-    groups = components(candidate_links(vertices, num, den, most, small))
-    marks = components(exact_links(docs, vertices.select("vertex", "doc_id", "n"), groups, words, num, den, limit, documents, small))
-    of = vertices.select("vertex", "doc_id").join(marks, "vertex", "left").select("vertex", "doc_id", F.coalesce("label", "vertex").alias("label"))
+    known = found.where(F.col("k0").isNotNull())
+    alike = known.groupBy("k0", "k1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
+    # numbers are drawn as the table is written, and read from it ever after
+    vertices = written(alike.withColumn("vertex", F.monotonically_increasing_id()), "ngram-vertices")
+    groups = components(candidate_links(vertices, num, den, most, small, prefix))
+    marks = components(exact_links(docs, vertices.select("vertex", "doc_id", "n", "k0", "k1"), groups, words, num, den, limit, documents, small))
+    of = vertices.select("vertex", "k0", "k1", "doc_id").join(marks, "vertex", "left").select("k0", "k1", "doc_id", F.coalesce("label", "vertex").alias("label"))
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = of.select("vertex", "label").join(least, "label").select("vertex", "component_id")
-    return found.select("doc_id", "n", "vertex").join(named, "vertex", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = of.select("k0", "k1", "label").join(least, "label").select("k0", "k1", "component_id")
+    joined = found.select("doc_id", "n", "k0", "k1").join(named, ["k0", "k1"], "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

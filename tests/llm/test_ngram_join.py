@@ -73,6 +73,28 @@ def test_families_and_small(spark, small_texts, options):
     assert got == want and len({c for _, _, c in want}) < len(rows) - 40
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_keys_that_collide_in_one_half(spark, small_texts, monkeypatch, half):
+    """Sets whose keys agree in 64 bits are still told apart by the other 64."""
+    key = ngram_join.key_of
+    monkeypatch.setattr(ngram_join, "key_of", lambda tokens: (lambda k: (k[0] & 1, k[1]) if not half else (k[0], k[1] & 1))(key(tokens)))
+    rows = [(i, t) for i, t, _ in small_texts[:60]] + [(1000 + k, t) for k, t in enumerate(family(2, 20, 2))]
+    got = found(ngram_join.join_documents(frame(spark, [(i, t, "a") for i, t in rows]), 4, 85, 100), "doc_id", "n_shingles", "component_id")
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_a_line_in_every_document(spark):
+    """Shingles of one line are the most frequent tokens: they come last, and what is dealt has bands of size."""
+    draw = random.Random(21)
+    line = words(draw, 12)
+    rows = [(k, f"{words(draw, draw.choice([0, 0, 3, 30, 60]))} {line}") for k in range(120)]
+    rows += [(200 + k, f"{t} {line}") for k, t in enumerate(family(5, 30, 2))]
+    docs = frame(spark, [(i, t, "a") for i, t in rows])
+    want = brute(rows, 4, 85, 100)
+    for options in ({"most": 12}, {"most": 5, "small": 0}):
+        assert found(ngram_join.join_documents(docs, 4, 85, 100, **options), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_repeats_nulls_and_nothing(repeated, repeated_docs, no_docs):
     got = found(ngram_join.join_documents(repeated_docs, 4, 85, 100), "doc_id", "n_shingles", "component_id")
     assert got == brute([(i, t) for i, t, _ in repeated], 4, 85, 100)
