@@ -13,11 +13,13 @@ ROUNDS = 200
 def components(links: DataFrame) -> DataFrame:
     """vertex, label of every vertex in ``links`` (columns a, b): label is the smallest vertex reachable.
 
-    Each round gives every vertex its smallest neighbour (or itself, if that is smaller) as parent and
-    then its parent's parent, and contracts the links to parents; what is left of a hub's links
-    after a round is nothing. Every round is a written table. When no link is left, labels are found
-    by following the rounds' parents from the last to the first. The joins have tables on both sides,
-    so that adaptive execution can split the rows of a hub, which all have one parent.
+    Each round puts the vertices that are left in an order drawn anew by a hash. Every vertex gets its
+    first neighbour (or itself, if that comes first) as parent and then its parent's parent, and links
+    are contracted to parents: of a path, however its vertices are numbered, about a third is left, and
+    of a hub's links nothing. Every round is a written table. When no link is left, roots are found by
+    following the rounds' parents from the last to the first, and each root's smallest vertex is the
+    label. The joins have tables on both sides, so that adaptive execution can split the rows of a hub,
+    which all have one parent.
     """
     ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = written(ends.where(F.col("a") != F.col("b")).distinct(), "links")
@@ -25,17 +27,21 @@ def components(links: DataFrame) -> DataFrame:
     while not left.isEmpty() or not rounds:
         if len(rounds) == ROUNDS:
             raise RuntimeError("components did not settle")
-        near = left.select(F.col("b").alias("vertex"), F.col("a").alias("low")).unionByName(left.select(F.col("a").alias("vertex"), F.col("a").alias("low")))
-        # written, so that in the join below both sides are exchanges of their own, and Spark may split those of a hub
-        first = written(near.groupBy("vertex").agg(F.min("low").alias("parent")), "nearest")
+        place = lambda x: F.xxhash64(x, F.lit(len(rounds)))  # noqa: B023, E731
+        both = left.select(F.col("a").alias("vertex"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("vertex"), F.col("a").alias("other")))
+        best = both.groupBy("vertex").agg(F.min_by("other", place("other")).alias("other"))
+        parent = F.when(place("other") < place("vertex"), F.col("other")).otherwise(F.col("vertex"))
+        first = written(best.select("vertex", parent.alias("parent")), "nearest")
         above = first.where(F.col("vertex") != F.col("parent")).select(F.col("vertex").alias("parent"), F.col("parent").alias("next"))
         parents = written(first.join(above, "parent", "left").select("vertex", F.coalesce("next", "parent").alias("parent")), "parents")
         rounds.append(parents)
         a, b = (parents.select(F.col("vertex").alias(x), F.col("parent").alias(f"p{x}")) for x in ("a", "b"))
         moved = left.join(a, "a").join(b, "b").where(F.col("pa") != F.col("pb"))
         left = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
-    labels = rounds.pop().withColumnRenamed("parent", "label")
+    roots = rounds.pop().withColumnRenamed("parent", "root")
     while rounds:
-        to = labels.select(F.col("vertex").alias("parent"), "label")
-        labels = rounds.pop().join(to, "parent", "left").select("vertex", F.coalesce("label", "parent").alias("label"))
-    return written(labels, "labels")
+        to = roots.select(F.col("vertex").alias("parent"), "root")
+        roots = rounds.pop().join(to, "parent", "left").select("vertex", F.coalesce("root", "parent").alias("root"))
+    roots = written(roots, "roots")
+    least = written(roots.groupBy("root").agg(F.min("vertex").alias("label")), "labels")
+    return written(roots.join(least, "root").select("vertex", "label"), "labelled")
