@@ -13,6 +13,9 @@ sketch, of its spans of SHORT_SPANS, and two such texts are compared by their se
 other two by their first. An edited text is never longer than the text, so a short text and its
 edited text always share this rule.
 
+The longest common extension tells, exactly, how far from the start two texts agree: of a text with its
+edited text (all that was kept, at least) and with the next document.
+
 A document's successor in descending doc_id order is the next row of the same sorted range
 partition; the last row of a partition meets the first of the next non-empty one through boundary
 records, two a partition.
@@ -20,7 +23,8 @@ records, two a partition.
 Defined results: a null text is empty; an empty text has an empty sketch, like another empty text
 (1) and nothing else (0); in the first sketch a text shorter than SPAN is one span; a null doc_id comes last; rows that
 repeat a doc_id are ordered by text; a single document is its own successor; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. A very long text is hashed whole, in arrays of its length, by the task
+that holds it and its successor.
 """
 
 from __future__ import annotations
@@ -145,13 +149,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = (
+    "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, "
+    "near_edited double, near_next double, common_edited long, common_next long"
+)
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def _row(doc_id, text: str, own: str, following: str, next_own: str) -> tuple:
+def _row(doc_id, text: str, own: PrefixHashes, mark: str, following: str, after: PrefixHashes, next_mark: str) -> tuple:
+    """One row of SCHEMA; ``mark`` and ``next_mark`` are the fingerprints of the text and the following one."""
     changed = edited(text, following)
-    after = PrefixHashes(changed).fingerprint()
-    return doc_id, len(text), changed, own, after, likeness(own, after), likeness(own, next_own)
+    new = PrefixHashes(changed)
+    print_ = new.fingerprint()
+    return doc_id, len(text), changed, mark, print_, likeness(mark, print_), likeness(mark, next_mark), own.common(0, new, 0), own.common(0, after, 0)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -175,7 +185,7 @@ def compare_with_next(docs: DataFrame, digest: bool = True) -> DataFrame:
         import pyarrow as pa
 
         rows = [(*r[:2], hashlib.sha256(r[2].encode()).hexdigest() if digest else r[2], *r[3:]) for r in rows]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
         return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
 
     def walk(batches):
@@ -183,24 +193,26 @@ def compare_with_next(docs: DataFrame, digest: bool = True) -> DataFrame:
         from pyspark import TaskContext
 
         part, last, first = TaskContext.get().partitionId(), None, None
-        names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "head", "tail", "null_id"]
+        names = [*NAMES, "part", "head", "tail"]
 
         def out(rows: list, head=None, tail=None):
             n = len(rows)
-            return pa.RecordBatch.from_arrays([*batch_of(rows), pa.array([part] * n, pa.int64()), pa.array([head] * n, pa.string()), pa.array([tail] * n, pa.string())], names=names[:10])
+            edge = [pa.array([part] * n, pa.int64()), pa.array([head] * n, pa.string()), pa.array([tail] * n, pa.string())]
+            return pa.RecordBatch.from_arrays([*batch_of(rows), *edge], names=names)
 
         for batch in bounded(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = PrefixHashes(text).fingerprint()
+                own = PrefixHashes(text)
+                mark = own.fingerprint()
                 if last is None:
                     first = text
                 else:
-                    rows.append(_row(*last, text, own))
-                last = (doc_id, text, own)
+                    rows.append(_row(*last, text, own, mark))
+                last = (doc_id, text, own, mark)
             yield out(rows)
         if last:  # the boundary record: this partition's first text, and its last document without a successor
-            yield out([(last[0], len(last[1]), "", last[2], "", 0.0, 0.0)], first, last[1])
+            yield out([(last[0], len(last[1]), "", last[3], "", 0.0, 0.0, 0, 0)], first, last[1])
 
     ordered = texts(docs).repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
     rows = written(ordered.mapInArrow(walk, SCHEMA + ", part long, head string, tail string"), "fingerprints")
@@ -217,8 +229,9 @@ def compare_with_next(docs: DataFrame, digest: bool = True) -> DataFrame:
         for batch in bounded(batches):
             found = []
             for doc_id, text, following in zip(*(c.to_pylist() for c in batch.columns)):
-                found.append(_row(doc_id, text, PrefixHashes(text).fingerprint(), following, PrefixHashes(following).fingerprint()))
-            yield pa.RecordBatch.from_arrays(batch_of(found), names=["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                own, after = PrefixHashes(text), PrefixHashes(following)
+                found.append(_row(doc_id, text, own, own.fingerprint(), following, after, after.fingerprint()))
+            yield pa.RecordBatch.from_arrays(batch_of(found), names=NAMES)
 
     return rows.where(F.col("tail").isNull()).drop("part", "head", "tail").unionByName(meet.mapInArrow(close, SCHEMA))
 

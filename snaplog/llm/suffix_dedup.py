@@ -2,8 +2,9 @@
 
 A byte goes if it lies in a window of LENGTH bytes that also starts earlier: in a document of smaller
 doc_id, or earlier in the same one. That is a window whose longest previous factor reaches LENGTH.
-In suffix order (to depth LENGTH, ties by position) such windows stand in runs whose neighbours have
-a common prefix of LENGTH; each but the run's first has its previous smaller position just before it.
+Windows are put in suffix order to depth LENGTH; of each, the nearest windows to either side that
+stand earlier in the corpus (previous and next smaller positions) hold its longest previous factor,
+which is the greater of its common prefixes with these two.
 
 Sorting all suffixes of a corpus would move each byte many times. Windows are brought together by
 anchors instead: a window's anchor is its GRAM-byte string of smallest hash, the leftmost of equals.
@@ -15,9 +16,10 @@ there is one row for about 35 windows. The row's context is the bytes of all win
      document holds leaves each task in one row.
   2. Rows meet by anchor. Of equal contexts again the first stays and the others are marked. Anchors
      that have one context only are done. For the others the contexts themselves are needed.
-  3. Documents give the bytes of those contexts, which meet by anchor; their windows are put in
-     suffix order, and windows with a longest previous factor of LENGTH are marked. An anchor of
-     more than HOT contexts is dealt by its windows' 64-bit hashes, so no task holds them all.
+  3. Documents give the bytes of those contexts, which meet by anchor; blocks of whole anchors get
+     their array of longest previous factors, and windows where it reaches LENGTH are marked. An
+     anchor of more than HOT contexts has its windows dealt one by one, by their hashes and with
+     their bytes, so no task holds them all, and bytes decide there too.
   4. Each document's marks are joined and cut out.
 
 The documents' texts are shuffled once; steps 3 and 4 read the same exchange.
@@ -25,7 +27,9 @@ The documents' texts are shuffled once; steps 3 and 4 read the same exchange.
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; null doc_ids come first
 in order; rows with equal doc_id and different texts are documents in order of their texts; rows that
 are equal in both are documents too, the later ones copies of the first; an empty table gives no
-rows; other columns are ignored. Bytes are what counts, so a cut may fall within a character.
+rows; other columns are ignored. Bytes are what counts, so a cut may fall within a character. A very
+long text is read whole, in segments of SEGMENT windows. Contexts count as equal in steps 1 and 2 if
+64 bits of their anchor's hash and 64 of their own agree; in step 3 bytes are compared.
 """
 
 from __future__ import annotations
@@ -110,21 +114,31 @@ class Anchors:
         return grams, self.mixed((sums[hi + size] - sums[lo]) * down[lo] + self.mixed(shape)), at, lo, hi
 
 
-def earlier_windows(windows):
-    """Windows (rows of equal length, in order of position) that have an equal one before them: a boolean array.
-
-    Suffix order to the windows' depth, ties by position; a row equal to its left neighbour has its
-    previous smaller position there, at a common prefix of the whole depth.
-    """
+def longest_previous_factors(windows):
+    """Of each window (a row of bytes; rows are in order of position) the longest prefix that it shares with one before it."""
     import numpy as np
 
-    if len(windows) < 2:
-        return np.zeros(len(windows), dtype=bool)
+    n, depth = windows.shape
+    if n < 2:
+        return np.zeros(n, dtype=np.int64)
     flat = np.ascontiguousarray(windows)
-    order = np.argsort(flat.view(f"S{flat.shape[1]}").ravel(), kind="stable")
-    ranked = flat[order]
-    out = np.zeros(len(flat), dtype=bool)
-    out[order[1:]] = (ranked[1:] == ranked[:-1]).all(axis=1)
+    # suffix order to the windows' depth, ties by position
+    place = np.argsort(flat.view(f"S{depth}").ravel(), kind="stable")
+    ranked = flat[place]
+    differ = ranked[1:] != ranked[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)  # of each with the one before it in order
+    out = np.zeros(n, dtype=np.int64)
+    for step, to_left in ((-1, common), (1, common)):
+        # the nearest in order that is earlier in position, by following pointers; least is the shared prefix on the way
+        near = np.arange(n) + step
+        least = np.concatenate([[0], to_left]) if step < 0 else np.concatenate([to_left, [0]])
+        active = np.flatnonzero((near >= 0) & (near < n))
+        while len(active := active[(near[active] >= 0) & (near[active] < n)]) and len(active := active[place[near[active]] > place[active]]):
+            via = near[active]
+            least[active] = np.minimum(least[active], least[via])
+            near[active] = near[via]
+        least[(near < 0) | (near >= n)] = 0
+        out[place] = np.maximum(out[place], least)
     return out
 
 
@@ -239,8 +253,8 @@ def settle(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "f", "ref", "packed").mapInArrow(run, "ref long, start long, end long, h long")
 
 
-def contexts(docs: DataFrame, needs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """h, ref, first (window), context: bytes of the contexts needed; of hot ones a row for each window, h being its hash, without bytes."""
+def contexts(docs: DataFrame, needs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = BLOCK_WINDOWS) -> DataFrame:
+    """h, ref, first (window), context: bytes of the contexts needed; of hot ones a row for each window, h being its hash. Or, where end is not null, a marked interval from first to end."""
 
     def run(batches):
         import numpy as np
@@ -250,6 +264,7 @@ def contexts(docs: DataFrame, needs: DataFrame, length: int = LENGTH, gram: int
         for batch in bounded(batches):
             rows: list = []
             hot: list = []
+            windows = 0
             for ref, data, wanted in zip(batch.column("ref").to_pylist(), batch.column("data"), batch.column("wanted").to_pylist()):
                 view = memoryview(data.as_buffer())
                 whole = np.frombuffer(view, dtype=np.uint8)
@@ -257,12 +272,14 @@ def contexts(docs: DataFrame, needs: DataFrame, length: int = LENGTH, gram: int
                     lo, more = w["start"] >> 16, w["start"] & 255
                     if w["end"] == -2:
                         hashes = find.windows(whole, lo, lo + more).view("i8")
-                        hot.append((hashes, np.full(more + 1, ref, dtype=np.int64), lo + np.arange(more + 1)))
+                        own = np.lib.stride_tricks.sliding_window_view(whole[lo : lo + more + length], length)
+                        hot.append((hashes, np.full(more + 1, ref, dtype=np.int64), lo + np.arange(more + 1), own))
+                        windows += more + 1
                     else:
                         rows.append((w["h"], ref, lo, bytes(view[lo : lo + more + length])))
-                if len(rows) > 20_000 or len(hot) > 20_000:
+                if len(rows) > 20_000 or windows > 2 * most:
                     yield from emit(pa, np, rows, hot)
-                    rows, hot = [], []
+                    rows, hot, windows = [], [], 0
             yield from emit(pa, np, rows, hot)
 
     def emit(pa, np, rows, hot):
@@ -270,19 +287,23 @@ def contexts(docs: DataFrame, needs: DataFrame, length: int = LENGTH, gram: int
         if rows:
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.binary()), pa.array([None] * len(rows), pa.int64())], names=names)
         if hot:
-            h, ref, first = (np.concatenate(x) for x in zip(*hot))
+            h, ref, first, bytes_ = (np.concatenate(x) for x in zip(*hot))
             order = np.lexsort((first, ref, h))
-            h, ref, first = h[order], ref[order], first[order]
+            h, ref, first, bytes_ = h[order], ref[order], first[order], bytes_[order]
             again = np.zeros(len(h), dtype=bool)
-            again[1:] = h[1:] == h[:-1]  # an equal window of this task stands earlier: marked, and not sent to meet others
+            # an equal window of this task stands earlier: marked, and not sent to meet others
+            again[1:] = (h[1:] == h[:-1]) & (bytes_[1:] == bytes_[:-1]).all(axis=1)
             # marked windows that follow each other become one interval
             order = np.lexsort((first[again], ref[again]))
             s, r = first[again][order], ref[again][order]
             cut = np.flatnonzero((r[1:] != r[:-1]) | (s[1:] > s[:-1] + length)) + 1
             low, high = (np.concatenate([[0], cut]), np.concatenate([cut, [len(s)]]) - 1) if len(s) else (cut, cut)
-            marked = (Anchors.mixed(r[low].astype("u8")).view("i8"), r[low], s[low], s[high] + length)
-            for a, b, c, e in ((h[~again], ref[~again], first[~again], None), marked):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64()) if e is None else pa.array(e)], names=names)
+            new = ~again
+            held = pa.array([x.tobytes() for x in bytes_[new]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (h[new], ref[new], first[new])), held, pa.nulls(int(new.sum()), pa.int64())], names=names)
+            spread = Anchors.mixed(r[low].astype("u8")).view("i8")  # any key: marked intervals meet nothing
+            columns = [*map(pa.array, (spread, r[low], s[low])), pa.nulls(len(low), pa.binary()), pa.array(s[high] + length)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     lists = needs.groupBy("ref").agg(F.collect_list(F.struct("h", "start", "end")).alias("wanted"))
     return docs.join(lists.hint("shuffle_hash"), "ref").select("ref", "doc_id", "data", "wanted").mapInArrow(run, "h long, ref long, first long, context binary, end long")
@@ -304,7 +325,7 @@ def resolve(rows: DataFrame, length: int = LENGTH, most: int = BLOCK_WINDOWS) ->
             of = np.repeat(np.arange(len(held)), sizes)
             within = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             windows = np.lib.stride_tricks.sliding_window_view(flat, length)[begin[of] + within]
-            mark = np.flatnonzero(earlier_windows(windows))
+            mark = np.flatnonzero(longest_previous_factors(windows) >= length)
             if not len(mark):
                 return None
             cut = np.flatnonzero((of[mark][1:] != of[mark][:-1]) | (mark[1:] != mark[:-1] + 1)) + 1
@@ -319,13 +340,7 @@ def resolve(rows: DataFrame, length: int = LENGTH, most: int = BLOCK_WINDOWS) ->
             ended = t.column("end").is_valid().to_numpy()
             if ended.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ref[ended]), pa.array(first[ended]), pa.array(t.column("end").to_numpy(zero_copy_only=False)[ended].astype(np.int64))], names=names)
-            bare = t.column("context").is_null().to_numpy() & ~ended
-            if bare.any():
-                g, r, s = h[bare], ref[bare], first[bare]
-                again = np.zeros(len(g), dtype=bool)
-                again[1:] = g[1:] == g[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(r[again]), pa.array(s[again]), pa.array(s[again] + length)], names=names)
-            full = np.flatnonzero(~bare & ~ended)
+            full = np.flatnonzero(~ended)
             if not len(full):
                 continue
             # blocks of whole groups

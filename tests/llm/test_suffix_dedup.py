@@ -74,18 +74,26 @@ def test_texts_are_shuffled_once(spark, small):
     assert "ReusedExchange" in q._jdf.queryExecution().executedPlan().toString()
 
 
-def test_earlier_windows():
+def test_longest_previous_factors():
     draw = np.random.default_rng(2)
-    x = draw.integers(0, 2, size=(500, 8), dtype=np.uint8)
-    seen, want = set(), []
-    for w in map(bytes, x):
-        want.append(w in seen)
-        seen.add(w)
-    assert suffix_dedup.earlier_windows(x).tolist() == want
+    for alphabet, n, depth in ((2, 500, 8), (1, 60, 5), (3, 300, 3), (200, 200, 4), (2, 1, 4)):
+        x = draw.integers(0, alphabet, size=(n, depth), dtype=np.uint8)
+        common = lambda a, b: next((k for k in range(depth) if a[k] != b[k]), depth)  # noqa: B023, E731
+        want = [max((common(x[j], x[i]) for j in range(i)), default=0) for i in range(n)]
+        assert suffix_dedup.longest_previous_factors(x).tolist() == want
     with pytest.raises(ValueError):
         suffix_dedup.dedup(None, 100, 4)
 
 
+def test_windows_whose_hashes_collide(spark, monkeypatch):
+    """Hot anchors' windows have hashes of two bits: bytes decide."""
+    monkeypatch.setattr(suffix_dedup.Anchors, "windows", lambda self, data, first, last, own=suffix_dedup.Anchors.windows: own(self, data, first, last) & np.uint64(3))
+    draw = random.Random(6)
+    passages = [words(draw, 40) for _ in range(3)]
+    rows = [(k, " ".join(draw.choice([words(draw, 8), draw.choice(passages), draw.choice(passages)[: draw.randint(60, 150)]]) for _ in range(4))) for k in range(60)]
+    assert run(frame(spark, [(i, t, "a") for i, t in rows]), hot=1) == brute(rows, 100)
+
+
 def test_query(spark, small, small_texts):
     import hashlib
 
