@@ -1,31 +1,38 @@
 """URL filters: a fixed rule list, and association rules for what it leaves open; DataFrame functions only.
 
-Spark's FP-growth mines combinations of URL tokens together with a label. A combination becomes a
+Spark's FP-growth mines combinations of URL tokens together with a label. Tokens that the same labelled
+URLs hold (by count and 128 bits of a hash of the set of URLs) make one item, since they tell the same:
+words that a site repeats in all its URLs so don't multiply combinations. A combination becomes a
 rule for its label if enough labelled URLs support it and enough of those that hold it have the
-label, unless a part of it does as well. Rules stand in an inverted index under their rarest token:
-a URL meets only rules whose rarest token it holds, and one fits if it holds all its tokens. The rule
-of highest confidence, then support, gives the verdict; without one it is allow.
+label, unless a part of it does as well. Rules stand in an inverted index under the tokens of their
+rarest item: a URL meets only rules of which it holds such a token, and one fits if the URL holds a
+token of each of its items. The rule of highest confidence, then support, then one that blocks, then
+the last antecedent in order, gives the verdict; without one it is allow. Tokens that every labelled
+URL holds are left out.
 
 Labels: pages of the labels table (a URL's path ends in the number of the document it shows) are to
 block if toxic or of quality 0, else to allow; and a host with a word of SEEDS is to block.
 
 Defined results: a null or empty URL, or one without ://, has empty host and path and the verdict
 allow; repeated rows get one result each; an empty table gives no rows; without labels the seeds
-alone teach; other columns are ignored.
+alone teach; other columns are ignored, whatever their names. A very long URL has as many tokens as it
+has words; of them those that SUPPORT labelled URLs hold are mined, the others cost one row each.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import near, table, written
 
 #: Fixed by the contract: verdict, rule (host, then path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words of a host that mark it as one to block.
 SEEDS = "ad adult ads adserver bet bets betting casino gambling malware phishing pills poker porn sex slots spam tracker tracking viagra warez xxx".split()
-SUPPORT, COUNT, CONFIDENCE, USELESS = 0.0005, 5, 0.8, 0.8
+SUPPORT, COUNT, CONFIDENCE = 0.0005, 5, 0.8
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -70,41 +77,67 @@ def label_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(known, "doc_id", "left").select("url", label.alias("label")).where(F.col("label").isNotNull())
 
 
+def items_of(rows: DataFrame, least: int, total: int) -> DataFrame:
+    """item, token, held: tokens that at least ``least`` rows hold, and not all; those in the same rows share an item (the first of them).
+
+    There are at most total / least times as many as a row has tokens.
+    """
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    mark = lambda k: F.bit_xor(F.xxhash64("row", F.lit(k)))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("held"), mark(1).alias("m1"), mark(2).alias("m2"))
+    counts = written(counts.where((F.col("held") >= least) & (F.col("held") < total)), "url-tokens")
+    same = ["held", "m1", "m2"]
+    first = counts.groupBy(*same).agg(F.min("token").alias("item"))
+    return written(counts.join(first, same).select("item", "token", "held"), "url-items")
+
+
+RULES_SCHEMA = "antecedent array<array<string>>, label string, freq long, confidence double, key array<string>"
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, count: int = COUNT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules: antecedent (sorted tokens), label, freq, confidence, key (its rarest token)."""
+    """Rules: antecedent (its items, each the sorted tokens that it stands for), label, freq, confidence, key (its rarest item's tokens)."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows = written(labelled.select(tokens(F.col("url")).alias("tokens"), F.concat(F.lit("label="), "label").alias("label")).where(F.size("tokens") > 0), "url-labels")
+    rows = labelled.select(tokens(F.col("url")).alias("tokens"), F.concat(F.lit("label="), "label").alias("label")).where(F.size("tokens") > 0)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "url-labels")
     total = rows.count()
-    schema = "antecedent array<string>, label string, freq long, confidence double, key string"
     if not total:
-        return labelled.sparkSession.createDataFrame([], schema)
-    # tokens that nearly all URLs hold tell nothing; there are few, since their shares add up to a URL's tokens
-    every = [r["token"] for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > USELESS * total).select("token").collect()]
-    told = F.filter("tokens", lambda x: ~x.isin(every)) if every else F.col("tokens")
-    items = rows.select(F.concat(told, F.array("label")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (count - 0.5) / total)), minConfidence=confidence).fit(items).freqItemsets  # Spark rounds the least count up
+        return labelled.sparkSession.createDataFrame([], RULES_SCHEMA)
+    least = math.ceil(max(support * total, count - 0.5))
+    items = items_of(rows, least, total)
+    held = rows.select("row", F.explode("tokens").alias("token")).join(near(items.select("item", "token")), "token")
+    own = held.groupBy("row").agg(F.collect_set("item").alias("items")).join(rows.select("row", "label"), "row")
+    baskets = own.select(F.concat("items", F.array("label")).alias("items"))
+    # half below a whole number, since Spark rounds the least count up
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / total), minConfidence=confidence).fit(baskets).freqItemsets
     sets = written(found.select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq")), "url-itemsets")
-    own = F.filter("items", lambda x: ~x.startswith("label="))
-    marked = sets.where(F.exists("items", lambda x: x.startswith("label=")) & (F.size("items") > 1)).select(own.alias("antecedent"), F.filter("items", lambda x: x.startswith("label="))[0].alias("label"), "freq")
-    plain = sets.where(~F.exists("items", lambda x: x.startswith("label="))).select(F.col("items").alias("antecedent"), F.col("freq").alias("held"))
-    rules = marked.join(plain, "antecedent").select("antecedent", F.substring("label", 7, 100).alias("label"), "freq", (F.col("freq") / F.col("held")).alias("confidence")).where(F.col("confidence") >= confidence)
-    # a rule goes if leaving out one token makes it no less sure
-    smaller = rules.where(F.size("antecedent") > 1).select("antecedent", "label", "confidence", F.explode("antecedent").alias("gone")).select("antecedent", "label", F.col("confidence").alias("own"), F.array_remove("antecedent", F.col("gone")).alias("part"))
+    is_label = lambda x: x.startswith("label=")
+    bare = F.filter("items", lambda x: ~is_label(x))
+    marked = sets.where(F.exists("items", is_label) & (F.size("items") > 1)).select(bare.alias("antecedent"), F.filter("items", is_label)[0].alias("label"), "freq")
+    plain = sets.where(~F.exists("items", is_label)).select(F.col("items").alias("antecedent"), F.col("freq").alias("held"))
+    rules = marked.join(plain, "antecedent").select("antecedent", F.substring("label", 7, 100).alias("label"), "freq", (F.col("freq") / F.col("held")).alias("confidence"))
+    rules = rules.where(F.col("confidence") >= confidence)
+    # a rule goes if leaving out one item makes it no less sure
+    smaller = rules.where(F.size("antecedent") > 1).select("antecedent", "label", F.col("confidence").alias("own"), F.explode("antecedent").alias("gone"))
+    smaller = smaller.select("antecedent", "label", "own", F.array_remove("antecedent", F.col("gone")).alias("part"))
     parts = rules.select(F.col("antecedent").alias("part"), "label", F.col("confidence").alias("theirs"))
     spare = smaller.join(parts, ["part", "label"]).where(F.col("theirs") >= F.col("own")).select("antecedent", "label").distinct()
     rules = rules.join(spare, ["antecedent", "label"], "left_anti")
-    single = plain.where(F.size("antecedent") == 1).select(F.col("antecedent")[0].alias("token"), "held")
-    keys = rules.select("antecedent", "label", F.explode("antecedent").alias("token")).join(single, "token").groupBy("antecedent", "label").agg(F.min(F.struct("held", "token"))["token"].alias("key"))
-    return written(rules.join(keys, ["antecedent", "label"]).select("antecedent", "label", "freq", "confidence", "key"), "url-rules")
+    # items are spelled out as their tokens
+    classes = items.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("tokens"), F.first("held").alias("held"))
+    spelled = rules.select("antecedent", "label", F.explode("antecedent").alias("item")).join(near(written(classes, "url-classes")), "item")
+    spelled = spelled.groupBy("antecedent", "label").agg(F.array_sort(F.collect_list("tokens")).alias("spelled"), F.min(F.struct("held", "tokens"))["tokens"].alias("key"))
+    return written(rules.join(spelled, ["antecedent", "label"]).select(F.col("spelled").alias("antecedent"), "label", "freq", "confidence", "key"), "url-rules")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url, verdict, antecedent, confidence of each distinct URL that a rule fits."""
     held = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("tokens", tokens(F.col("url")))
-    met = held.select("url", "tokens", F.explode("tokens").alias("key")).join(rules, "key").where(F.forall("antecedent", lambda x: F.array_contains("tokens", x)))
+    index = rules.withColumn("key", F.explode("key"))
+    met = held.select("url", "tokens", F.explode("tokens").alias("key")).join(index, "key").where(F.forall("antecedent", lambda x: F.arrays_overlap("tokens", x)))
     best = F.max(F.struct("confidence", "freq", (F.col("label") == "block").alias("blocks"), "antecedent", "label"))
-    return met.groupBy("url").agg(best.alias("best")).select("url", F.col("best.label").alias("verdict"), F.col("best.antecedent").alias("antecedent"), F.col("best.confidence").alias("confidence"))
+    chosen = met.groupBy("url").agg(best.alias("best"))
+    return chosen.select("url", F.col("best.label").alias("verdict"), F.col("best.antecedent").alias("antecedent"), F.col("best.confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -149,7 +182,7 @@ WITH u AS (
 ), n AS (
   SELECT count(*) AS n FROM m
 ), z AS (
-  SELECT token FROM (SELECT unnest(tokens) AS token FROM m) GROUP BY token HAVING count(*) > {USELESS} * (SELECT n FROM n)
+  SELECT token FROM (SELECT unnest(tokens) AS token FROM m) GROUP BY token HAVING count(*) = (SELECT n FROM n)
 ), o AS (
   SELECT row, any_value(label) AS label, list(token ORDER BY token) AS items FROM (SELECT row, label, unnest(tokens) AS token FROM m) WHERE token NOT IN (SELECT token FROM z) GROUP BY row
 ), e AS (

@@ -50,10 +50,13 @@ def test_mined_rules(spark):
     draw = random.Random(9)
     rows = [site(draw) for _ in range(400)]
     df = spark.createDataFrame(rows, "url string, label string")
-    got = {(tuple(r["antecedent"]), r["label"]): (r["freq"], round(r["confidence"], 9), r["key"]) for r in urlfilter.mine(df).collect()}
+    mined = urlfilter.mine(df).collect()
+    # an item stands for all tokens of the same URLs, so a rule for a rule of each choice among them
+    got = {(tuple(sorted(c)), r["label"]): (r["freq"], round(r["confidence"], 9), min(r["key"])) for r in mined for c in itertools.product(*r["antecedent"])}
+    assert any(len(item) > 1 for r in mined for item in r["antecedent"])
     sets = [(frozenset(r["t"]), r["label"]) for r in df.select(urlfilter.tokens(df["url"]).alias("t"), "label").collect()]
     share = {t: sum(t in s for s, _ in sets) / 400 for s, _ in sets for t in s}
-    sets = [(frozenset(t for t in s if share[t] <= urlfilter.USELESS), y) for s, y in sets]
+    sets = [(frozenset(t for t in s if share[t] < 1), y) for s, y in sets]
     held, marked = {}, {}
     for s, y in sets:
         for n in range(1, len(s) + 1):
@@ -63,8 +66,8 @@ def test_mined_rules(spark):
     least = max(urlfilter.COUNT, urlfilter.SUPPORT * 400)
     rules = {k: (n, n / held[k[0]]) for k, n in marked.items() if n >= least and n / held[k[0]] >= urlfilter.CONFIDENCE}
     spare = {k for k in rules for t in k[0] if len(k[0]) > 1 and (part := (tuple(x for x in k[0] if x != t), k[1])) in rules and rules[part][1] >= rules[k][1]}
-    want = {k: (n, round(c, 9), min(k[0], key=lambda t: (held[(t,)], t))) for k, (n, c) in rules.items() if k not in spare}
-    assert got == want and want
+    want = {k: (n, round(c, 9), min(held[(t,)] for t in k[0])) for k, (n, c) in rules.items() if k not in spare}
+    assert {k: (n, c, held[(t,)]) for k, (n, c, t) in got.items()} == want and want
     mined = urlfilter.mine(df)
     verdicts = {r["url"]: r["verdict"] for r in urlfilter.match(df, mined).collect()}
     for (url, _), (s, _) in zip(rows, sets):
@@ -72,6 +75,25 @@ def test_mined_rules(spark):
         assert verdicts.get(url) == (max(fit)[-1] if fit else None)
 
 
+def test_words_that_a_site_repeats(spark):
+    """25 path words in the same URLs: one item, not 2 ** 25 combinations; any of the words is a rule's token."""
+    shared = "/".join(f"part{chr(97 + k)}" for k in range(25))
+    rows = [(f"http://a.info/{shared}/{k}", "block") for k in range(6)] + [(f"http://b{k}.info/news/{k}", "allow") for k in range(60)]
+    df = spark.createDataFrame(rows, "url string, label string")
+    mined = urlfilter.mine(df)
+    rules = [r for r in mined.collect() if r["label"] == "block"]
+    assert [r["confidence"] for r in rules] == [1.0] and len(rules[0]["antecedent"][0]) == 27 and rules[0]["freq"] == 6
+    asked = spark.createDataFrame([("http://c.info/x/partq/1", 1), ("http://c.info/x/other", 1), (None, 1), ("http://c.info/" + "partc/" * 5_000, 1)], "url string, key int")
+    assert sorted(len(r["url"]) for r in urlfilter.match(asked, mined).collect() if r["verdict"] == "block") == [23, 30_014]
+
+
+def test_labels_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(k, f"http://{'bad' if k % 2 else 'good'}.info/x/{k}", "x", "x", "x") for k in range(40)], "page_id long, url string, label string, tokens string, item string")
+    labels = spark.createDataFrame([(k, 1, k % 2, "x", "x", "x") for k in range(40)], "doc_id long, quality int, toxic int, url string, label string, held string")
+    got = found(urlfilter.judge(pages, labels), "page_id", "verdict")
+    assert got == sorted(((k, "block" if k % 2 else "allow") for k in range(40)), key=repr)
+
+
 def test_labels_and_query(spark, small):
     pages = spark.createDataFrame([(1, "http://a.info/x/7"), (2, "http://b.info/y/8"), (3, "http://casino-win.info/z/99"), (4, None), (5, "http://c.info/9.html")], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0), (8, 1, None), (9, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
