@@ -13,13 +13,16 @@ there is one row for about 35 windows. The row's context is the bytes of all win
 
   1. Each task finds its documents' anchors with a hash of their contexts. Of equal contexts in a
      task the first goes on and the others' windows are marked at once, so a passage that every
-     document holds leaves each task in one row.
-  2. Rows meet by anchor. Of equal contexts again the first stays and the others are marked. Anchors
-     that have one context only are done. For the others the contexts themselves are needed.
+     document holds leaves each task in one row. An anchor of more than HOT / 16 contexts among the
+     TASK_ANCHORS that a task looks at together is hot: its contexts are needed in any case, so they
+     go to step 3 at once, and a single row tells step 2 to take the anchor's others for hot too.
+  2. Rows meet by anchor, at most HOT / 16 for TASK_ANCHORS of the corpus. Of equal contexts again the
+     first stays and the others are marked. Anchors that have one context only are done. For the
+     others the contexts themselves are needed.
   3. Documents give the bytes of those contexts, which meet by anchor; blocks of whole anchors get
-     their array of longest previous factors, and windows where it reaches LENGTH are marked. An
-     anchor of more than HOT contexts has its windows dealt one by one, by their hashes and with
-     their bytes, so no task holds them all, and bytes decide there too.
+     their array of longest previous factors, and windows where it reaches LENGTH are marked. A hot
+     anchor, or one of more than HOT contexts, has its windows dealt one by one, by their hashes and
+     with their bytes, so no task holds them all, and bytes decide there too.
   4. Each document's marks are joined and cut out.
 
 The documents' texts are shuffled once; steps 3 and 4 read the same exchange.
@@ -42,6 +45,8 @@ from .common import bounded, table, with_ref, written
 LENGTH, GRAM, HOT = 100, 24, 1_000
 SEGMENT = 1 << 19
 TASK_ANCHORS, BLOCK_WINDOWS = 400_000, 40_000
+#: What stands in place of a context's place: the anchor is hot; or a hot anchor's context, whose place is in f.
+IS_HOT, OF_HOT = -(1 << 62), -(1 << 61)
 
 
 class Anchors:
@@ -152,11 +157,13 @@ def merged(starts, ends):
     return starts[np.concatenate([[0], cut])] if len(starts) else starts, reach[np.concatenate([cut, [len(reach)]]) - 1] if len(starts) else reach
 
 
-def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int = TASK_ANCHORS) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int = TASK_ANCHORS, hot: int = HOT) -> DataFrame:
     """h (gram hash), f (context hash), ref, packed: first window << 16 | place in it << 8 | windows - 1.
 
-    A marked interval is a row too: packed is -1 - start, f the end, and h any number.
+    A marked interval is a row too: packed is -1 - start, f the end, and h any number. So is a hot
+    anchor (packed is IS_HOT), and each of its contexts (OF_HOT; f is what packed would be, h any number).
     """
+    most = max(1, hot // 16)
 
     def run(batches):
         import numpy as np
@@ -183,8 +190,20 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: i
             if len(s):
                 first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(s)]]) - 1
                 s, e, r = s[first], e[last], r[first]
-            new = ~again
-            columns = [np.concatenate([h[new].view("i8"), find.mixed(r.astype("u8")).view("i8")]), np.concatenate([f[new].view("i8"), e]), np.concatenate([ref[new], r]), np.concatenate([packed[new], -1 - s])]
+            h, f, ref, packed = h[~again], f[~again].view("i8"), ref[~again], packed[~again]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            sizes = np.diff(np.concatenate([first, [len(h)]]))
+            often = first[sizes > most]  # a row of each hot anchor
+            of_hot = np.repeat(sizes > most, sizes)
+            own, place = ~of_hot, packed[of_hot]
+            spread = lambda x: find.mixed(x.astype("u8")).view("i8")  # noqa: E731  keys of rows that meet nothing
+            none = np.zeros(len(often), dtype=np.int64)
+            columns = [
+                np.concatenate([h[own].view("i8"), h[often].view("i8"), spread(ref[of_hot] ^ place << 20), spread(r)]),
+                np.concatenate([f[own], none, place, e]),
+                np.concatenate([ref[own], none, ref[of_hot], r]),
+                np.concatenate([packed[own], none + IS_HOT, place * 0 + OF_HOT, -1 - s]),
+            ]
             for low in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=["h", "f", "ref", "packed"])
 
@@ -233,21 +252,26 @@ def settle(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             if not t.num_rows:
                 continue
             h, f, ref, packed = (t.column(k).to_numpy() for k in range(4))
-            marks = packed < 0
+            marks, of_hot, places = (packed < 0) & (packed > OF_HOT), packed == OF_HOT, packed >= 0
+            # marked intervals, and contexts that are known to be needed
             done = ref[marks], -1 - packed[marks], f[marks]
-            h, f, ref, packed = h[~marks], f[~marks], ref[~marks], packed[~marks]
+            sure = ref[of_hot], f[of_hot], np.full(int(of_hot.sum()), -2), h[of_hot]
+            often = np.unique(h[packed == IS_HOT])
+            h, f, ref, packed = h[places], f[places], ref[places], packed[places]
+            told = np.isin(h, often)
             new_h, new_f = np.ones(len(h), dtype=bool), np.ones(len(h), dtype=bool)
             new_h[1:] = h[1:] != h[:-1]
             new_f[1:] = new_h[1:] | (f[1:] != f[:-1])
             kinds = np.bincount(np.cumsum(new_h) - 1, weights=new_f, minlength=1).astype(np.int64)[np.cumsum(new_h) - 1] if len(h) else np.zeros(0, dtype=np.int64)
             lo, more = packed >> 16, packed & 255
-            again, need = ~new_f, new_f & (kinds > 1)
+            again, need = ~new_f, new_f & ((kinds > 1) | told)
             columns = [
-                np.concatenate([done[0], ref[again], ref[need]]), np.concatenate([done[1], lo[again], packed[need]]),
-                np.concatenate([done[2], (lo + more + length)[again], np.where(kinds > hot, -2, -1)[need]]),
+                np.concatenate([done[0], ref[again], ref[need], sure[0]]),
+                np.concatenate([done[1], lo[again], packed[need], sure[1]]),
+                np.concatenate([done[2], (lo + more + length)[again], np.where((kinds > hot) | told, -2, -1)[need], sure[2]]),
             ]
-            known = np.concatenate([np.zeros(len(done[0]) + int(again.sum()), dtype=bool), np.ones(int(need.sum()), dtype=bool)])
-            group = np.concatenate([np.zeros(len(done[0]) + int(again.sum()), dtype=np.int64), h[need]])
+            group = np.concatenate([np.zeros(len(done[0]) + int(again.sum()), dtype=np.int64), h[need], sure[3]])
+            known = np.arange(len(group)) >= len(done[0]) + int(again.sum())
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(group, mask=~known)], names=["ref", "start", "end", "h"])
 
     return rows.repartition("h").sortWithinPartitions("h", "f", "ref", "packed").mapInArrow(run, "ref long, start long, end long, h long")
@@ -365,7 +389,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     if not 8 <= gram <= length or length - gram > 254:
         raise ValueError("gram must be at least 8, and below length by at most 254")
     rows = with_ref(docs.select("doc_id", "text")).select("ref", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text"), F.lit("")).cast("binary").alias("data"))
-    found = written(settle(anchor_rows(rows, length, gram), length, hot), "dedup-anchors")
+    found = written(settle(anchor_rows(rows, length, gram, hot=hot), length, hot), "dedup-anchors")
     # both joins below read this one exchange: Spark reuses it while both take the same columns and filters
     # (an inner join would add the test for null, which is always true, to its side alone)
     dealt = rows.where(F.col("ref").isNotNull()).repartition("ref").select("ref", "doc_id", "data")

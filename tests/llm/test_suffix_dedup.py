@@ -68,6 +68,30 @@ def test_segments_and_flushes(spark, odd, odd_docs, monkeypatch):
     assert rows.where("packed >= 0").count() > 100
 
 
+def test_one_anchor_in_every_document(spark):
+    """A line shorter than a window, in surroundings that all differ but for a few: tasks send on a row for it, whatever its number of contexts."""
+    draw = random.Random(8)
+    line = "the same line of about sixty bytes stands in every document"
+    twice = words(draw, 10) + line + words(draw, 10)
+    rows = [(k, f"{words(draw, 15)} {twice if k % 40 == 7 else line} {words(draw, 15)}") for k in range(400)]
+    docs = frame(spark, [(i, t, "a") for i, t in rows])
+    data = docs.select(F.col("doc_id").alias("ref"), F.col("text").cast("binary").alias("data"))
+    largest = lambda hot: suffix_dedup.anchor_rows(data, hot=hot).where("packed >= 0").groupBy("h").count().agg(F.max("count")).first()[0]
+    assert largest(100_000) > 200 and largest(32) <= 2 * 3  # three tasks, 32 / 16 contexts each
+    for hot in (1, 32, 100_000):
+        assert run(docs, hot=hot) == brute(rows, 100)
+
+
+def test_anchor_hot_in_one_task_only(spark):
+    """One task finds an anchor hot and another has only a few of its contexts: they meet all the same."""
+    draw = random.Random(9)
+    line = "the same line of about sixty bytes stands in every document"
+    texts = [f"{words(draw, 12)} {line} {words(draw, 12)}" for _ in range(60)]
+    rows = list(enumerate([texts[3], texts[50], *texts]))
+    few, many = (frame(spark, [(i, t, "a") for i, t in part]).coalesce(1) for part in (rows[:2], rows[2:]))
+    assert run(few.unionByName(many), hot=64) == run(many.unionByName(few), hot=64) == brute(rows, 100)
+
+
 def test_texts_are_shuffled_once(spark, small):
     q = suffix_dedup.op10_suffix_dedup(spark, small)
     q.collect()
