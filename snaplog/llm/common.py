@@ -13,16 +13,24 @@ from ..sources.scratch import new_path
 #: White space is what these classes exclude: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 DEFAULT_VOCABULARY = "byte_bpe_50k"
+#: Narrow rows that one file may hold where the number of rows is known beforehand.
+FILE_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    ``rows``: how many narrow rows it has at most. A small table then is few files, however many
+    partitions a shuffle has; beyond FILE_ROWS a partition, nothing changes.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
