@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of documents joined by similarity, the one of smallest doc_id stays. Texts without words are in no group."""
     rows = with_ref(docs)
     found = ngram_join.join_documents(rows.select(F.col("ref").alias("doc_id"), "row.text"), words=5, num=80, den=100)
-    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("ref")), "copies")
+    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("ref")), "copies", rows.count())
     return rows.join(near(gone), "ref", "left_anti").select("row.*")
 
 

@@ -10,9 +10,11 @@ from .common import written
 ROUNDS = 200
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """vertex, label of every vertex in ``links`` (columns a, b): label is the smallest vertex reachable.
 
+    ``rows``: about how many links there are, if that is known; they are dealt anew before they are written.
+
     Each round puts the vertices that are left in an order drawn anew by a hash. Every vertex gets its
     first neighbour (or itself, if that comes first) as parent and then its parent's parent, and links
     are contracted to parents: of a path, however its vertices are numbered, about a third is left, and
@@ -23,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     as their rows need: a file a shuffle partition, in dozens of tables, costs more than the work.
     """
     ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = written(ends.where(F.col("a") != F.col("b")).distinct(), "links")
+    left = written(ends.where(F.col("a") != F.col("b")).distinct(), "links", rows)
     # a vertex has a link at least, so a round has at most two vertices a link
     most = 2 * (n := left.count())
     rounds: list[DataFrame] = []

@@ -543,10 +543,11 @@ def exact_links(docs: DataFrame, vertices: DataFrame, groups: DataFrame, words:
     sizes = members.groupBy("g0").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("count"), F.min("vertex").alias("p0"), F.max("vertex").alias("p1"), F.min_by("vertex", F.xxhash64("vertex")).alias("p2"))
     whole, alone = F.col("total") / limit, F.col("count") / documents
     coarse, parts = (F.ceil(F.greatest(whole, x)).cast("long") for x in (alone, SPREAD * alone))
-    members = written(members.join(sizes.select("g0", parts.alias("parts"), coarse.alias("coarse"), F.col("count").alias("size"), "p0", "p1", "p2"), "g0"), "ngram-members")
+    members = written(members.join(sizes.select("g0", parts.alias("parts"), coarse.alias("coarse"), F.col("count").alias("size"), "p0", "p1", "p2"), "g0"), "ngram-members", vertices.count())
+    many = members.count()
     wanted = members.select("doc_id", F.col("vertex").alias("of"), "k0", "k1", "g0", "parts", "p0", "p1", "p2")
     # broadcast only what is known to be small; otherwise both sides are shuffled
-    wanted = F.broadcast(wanted) if members.count() <= small else wanted
+    wanted = F.broadcast(wanted) if many <= small else wanted
 
     def form(batches):
         import pyarrow as pa
@@ -573,8 +574,8 @@ def exact_links(docs: DataFrame, vertices: DataFrame, groups: DataFrame, words:
     first = written(_verify(rows, num, den), "ngram-links")
     # second round: of groups dealt over several trees, what is not in the group's largest class meets the other parts
     dealt = members.where(F.col("parts") > 1).select("vertex", "g0", "parts", "coarse", "size")
-    marks = components(first.join(dealt.select("g0").distinct(), "g0", "left_semi").select("a", "b"))
-    classed = written(dealt.join(marks, "vertex", "left").select("vertex", "g0", "parts", "coarse", "size", F.coalesce("label", "vertex").alias("label")), "ngram-classes")
+    marks = components(first.join(dealt.select("g0").distinct(), "g0", "left_semi").select("a", "b"), 2 * many)
+    classed = written(dealt.join(marks, "vertex", "left").select("vertex", "g0", "parts", "coarse", "size", F.coalesce("label", "vertex").alias("label")), "ngram-classes", many)
     counts = classed.groupBy("g0", "label").count()
     largest = counts.groupBy("g0").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
     rest = classed.join(largest, "g0").where(F.col("label") != F.col("most"))
@@ -598,8 +599,9 @@ def join_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     alike = known.groupBy("k0", "k1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
     # numbers are drawn as the table is written, and read from it ever after
     vertices = written(alike.withColumn("vertex", F.monotonically_increasing_id()), "ngram-vertices")
-    groups = components(candidate_links(vertices, num, den, most, small, prefix))
-    marks = components(exact_links(docs, vertices.select("vertex", "doc_id", "n", "k0", "k1"), groups, words, num, den, limit, documents, small))
+    # a vertex has one link at most in each tree of its tokens, and in its group two or so
+    groups = components(candidate_links(vertices, num, den, most, small, prefix), prefix * vertices.count())
+    marks = components(exact_links(docs, vertices.select("vertex", "doc_id", "n", "k0", "k1"), groups, words, num, den, limit, documents, small), 2 * groups.count())
     of = vertices.select("vertex", "k0", "k1", "doc_id").join(marks, "vertex", "left").select("k0", "k1", "doc_id", F.coalesce("label", "vertex").alias("label"))
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = of.select("k0", "k1", "label").join(least, "label").select("k0", "k1", "component_id")

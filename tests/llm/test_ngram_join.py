@@ -153,12 +153,19 @@ def test_small_tables_of_components_are_few_files(spark, monkeypatch):
         for k, v in zip(held, ("32", "false")):
             spark.conf.set(k, v)
         links = spark.createDataFrame([(k, k + 1) for k in range(400)], "a long, b long")
-        assert {r["label"] for r in components.components(links).collect()} == {0}
+        assert {r["label"] for r in components.components(links, links.count()).collect()} == {0}
+        draw, own = random.Random(6), []
+        monkeypatch.setattr(ngram_join, "written", lambda df, what, *rows: (out := written(df, what, *rows), own.append((what, len(out.inputFiles()))))[0])
+        base = [words(draw, 40) for _ in range(60)]
+        docs = spark.createDataFrame([(k, base[k // 2] + " end" * (k % 2)) for k in range(120)], "doc_id long, text string")
+        got = ngram_join.join_documents(docs, words=5, num=80, den=100, documents=1).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k % 2 for k in range(120)}
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
-    # the first table's rows aren't known before it is written
-    assert len(made) > 6 and made[0][0] == "links" and all(files <= 1 for _, files in made[1:])
+    assert len(made) > 20 and all(files <= 1 for _, files in made)
+    narrow = [files for what, files in own if what in ("ngram-members", "ngram-classes")]
+    assert len(narrow) == 2 and all(files <= 1 for files in narrow)
 
 
 def test_beyond_a_files_rows_links_stay_spread(spark, monkeypatch):
